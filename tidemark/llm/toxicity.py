@@ -10,18 +10,58 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import sample_order
+from tidemark.llm.common import materialize, sample_order
 from tidemark.llm.linear import fit_sigmoid, sigmoid
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: Examples in a block of a posting list.
 BLOCK = 128
 
 
+#: Lengths of the word beginnings that are terms beside whole words, for languages that inflect or compound.
+BEGINNINGS = (4, 5, 6, 7)
+#: Shares of a text's words at which a beginning gets a further term, and counts at which it does.
+SHARES, COUNTS = (0.005, 0.01, 0.02, 0.04), (2, 4)
+
+
 def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def term_counts(found: list[str], n: int) -> dict[str, int]:
+    """Terms and their counts: whole words, beginnings of longer words, and marks for beginnings that recur.
+
+    ``found``: the words to look at, of ``n`` that the text has.
+    """
+    out = Counter(found)
+    heads = Counter(w[:k] + "*" for w in found for k in BEGINNINGS if len(w) > k)
+    for head, c in heads.items():
+        out[head] = c
+        for least in COUNTS:
+            if c >= least:
+                out[f"{head}{least}"] = 1
+        if c >= 2:
+            for share in SHARES:
+                if c >= share * n:
+                    out[f"{head}{share}"] = 1
+    return out
+
+
+class Vocabulary:
+    """Chosen terms; a look at a word's first letters tells whether it can matter at all."""
+
+    def __init__(self, terms: list[str]):
+        self.at = {t: k for k, t in enumerate(terms)}
+        self.stems = {t.partition("*")[0][: BEGINNINGS[0]] for t in terms}
+
+    def counts(self, text: str | None) -> dict[int, int]:
+        own, stems, size = words(text), self.stems, BEGINNINGS[0]
+        found = [w for w in own if w[:size] in stems]
+        return {self.at[t]: c for t, c in term_counts(found, len(own)).items() if t in self.at} if found else {}
+
+
 class BlockMaxIndex:
     """Postings of unit vectors by term, in blocks of BLOCK examples with the largest weight of each."""
 
@@ -67,7 +107,7 @@ class ToxicityModel:
     A text without a term has no neighbour and gets the rate among examples without a term.
     """
 
-    def __init__(self, vocabulary: dict[str, int], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], k: int = 25, prior: float = 1.0, calibrated: int = 2000):
+    def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], k: int = 25, prior: float = 1.0, calibrated: int = 2000):
         self.vocabulary, self.idf, self.k, self.prior = vocabulary, idf, k, prior
         examples = sorted(examples, key=lambda e: e[0])
         y = np.array([label for _, label, _ in examples], dtype=np.float64)
@@ -77,7 +117,8 @@ class ToxicityModel:
         self.ids = np.array([e[0] for e in examples if e[2]], dtype=np.int64)
         self.labels = np.array([e[1] for e in examples if e[2]], dtype=np.float64)
         vectors = [self.vector(e[2]) for e in examples if e[2]]
-        self.index = BlockMaxIndex(vectors, len(vocabulary))
+        self.index = BlockMaxIndex(vectors, len(vocabulary.at))
+        self.names = list(vocabulary.at)
         self.a, self.b = 1.0, 0.0
         self.memo: dict = {}
         some = range(0, len(vectors), max(1, len(vectors) // calibrated))
@@ -99,11 +140,9 @@ class ToxicityModel:
         return float(np.clip(((sims * marks).sum() + self.prior * self.rate) / (sims.sum() + self.prior), 1e-6, 1 - 1e-6))
 
     def score(self, text: str | None) -> tuple[float, list[int], list[str]]:
-        get = self.vocabulary.get
-        found = [w for w in words(text) if w in self.vocabulary]
-        if not found:
+        counts = self.vocabulary.counts(text)
+        if not counts:
             return float(self.bare), [], []
-        counts = Counter(map(get, found))
         key = tuple(sorted(counts.items()))
         if key not in self.memo:
             if len(self.memo) >= 50_000:
@@ -112,14 +151,14 @@ class ToxicityModel:
             raw = self.vote(near)
             self.memo[key] = float(sigmoid(np.array(self.a * np.log(raw / (1 - raw)) + self.b))), [int(self.ids[i]) for _, i in near[:5]]
         value, evidence = self.memo[key]
-        return value, evidence, sorted(set(found))
+        return value, evidence, sorted(self.names[t] for t in counts)
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", examples: int = 20_000, terms: int = 1024, least_chi2: float = 30.0) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", examples: int = 8_000, terms: int = 1024, least_chi2: float = 30.0) -> ToxicityModel:
     """Fits on a bounded sample: the ``examples`` labelled ids first in a fixed hash order.
 
-    The vocabulary is the at most ``terms`` words most associated with label 1 among the examples
-    (chi-square at ``least_chi2`` or more, in 5 examples and 0.1 % of them at least); each word's
+    The vocabulary is the at most ``terms`` terms (see ``term_counts``) most associated with label 1 among the examples
+    (chi-square at ``least_chi2`` or more, in 5 examples and 0.1 % of them at least); each term's
     document frequency is counted over all documents. Null labels, ids and texts are left out; an
     id labelled more than once counts once, with its largest label.
     """
@@ -127,11 +166,12 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
     sample = known.orderBy(sample_order(), "doc_id").limit(examples).select(F.col("doc_id").alias("_id"), "_y")
     labelled = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "_y", "text")
 
-    def term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, up, rows, toxic = Counter(), Counter(), 0, 0
         for batch in batches:
             for y, text in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                own = set(words(text.as_py()))
+                own = words(text.as_py())
+                own = list(term_counts(own, len(own)))
                 n.update(own)
                 rows += 1
                 if y:
@@ -140,34 +180,32 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
         n[""], up[""] = rows, toxic
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([up[t] for t in n], pa.int64())], names=["term", "n", "up"])
 
-    counts = labelled.mapInArrow(term_counts, "term string, n long, up long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("up").alias("up"))
-    from tidemark.llm.common import materialize
-
+    counts = labelled.mapInArrow(example_terms, "term string, n long, up long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("up").alias("up"))
     counts = materialize(counts, "toxic-terms")
     rows = counts.where("term = ''").head()
     total, toxic = (rows["n"], rows["up"]) if rows else (0, 0)
     expected = F.col("n") * F.lit(toxic / max(1, total))
     chi2 = F.pow(F.col("up") - expected, 2) / (expected * (1 - F.col("n") / F.lit(max(1, total)) + F.lit(1e-9)) * F.lit(max(1e-9, 1 - toxic / max(1, total))))
     chosen = counts.where((F.col("term") != "") & (F.col("n") >= max(5, total // 1000)) & (F.col("up") > expected)).withColumn("chi2", chi2).where(F.col("chi2") >= least_chi2)
-    vocabulary = {r["term"]: k for k, r in enumerate(chosen.orderBy(F.desc("chi2"), "term").limit(terms).collect())}
-    shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)  # at most ``terms`` words
+    vocabulary = Vocabulary([r["term"] for r in chosen.orderBy(F.desc("chi2"), "term").limit(terms).collect()])
+    shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)  # at most ``terms`` terms
 
     def document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, rows, inside = Counter(), 0, set(shipped.value)
+        n, rows = Counter(), 0
         for batch in batches:
             for text in batch.column(0):
                 rows += 1
-                n.update(inside.intersection(words(text.as_py())))
-        n[""] = rows
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
+                n.update(shipped.value.counts(text.as_py()).keys())
+        n[-1] = rows
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int32()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
 
-    df = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(document_frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    everything = df.pop("", 0)
-    idf = np.array([np.log((1 + everything) / (1 + df.get(t, 0))) + 1 for t in vocabulary])
+    df = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(document_frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    everything = df.pop(-1, 0)
+    idf = np.array([np.log((1 + everything) / (1 + df.get(t, 0))) + 1 for t in range(len(vocabulary.at))])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [Counter(shipped.value[w] for w in words(t.as_py()) if w in shipped.value) for t in batch.column(2)]
+            found = [shipped.value.counts(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], names=["doc_id", "y", "term", "tf"]
             )
@@ -188,7 +226,7 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None)
     keep = docs.columns if keep is None else keep
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded by examples and terms
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_whole_text"))
-    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("score", "double").add("evidence", "array<long>").add("terms", "array<string>")
+    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("score", "double").add("evidence", T.ArrayType(T.LongType())).add("terms", T.ArrayType(T.StringType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
