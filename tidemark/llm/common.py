@@ -100,3 +100,15 @@ def rank_within(df: DataFrame, group: str, tie: list[str], rows_per_bucket: int
         .withColumn("rank", (F.col("_r") + F.col("_off")).cast("long"))
         .drop("_b", "_r", "_g", "_ob", "_off")
     )
+
+
+def restricted(df: DataFrame, ids: DataFrame, on: str, how: str = "left_semi", most_rows: int = 1_000_000) -> DataFrame:
+    """``df`` restricted to (left_semi) or without (left_anti) the ids in ``ids``.
+
+    ``ids`` should be materialized: it is counted, and broadcast only up to ``most_rows`` rows;
+    beyond them both sides are shuffled, which adaptive execution splits at hot keys.
+    """
+    right = ids.select(F.col(ids.columns[0]).alias("_on"))
+    if right.count() <= most_rows:
+        right = F.broadcast(right)
+    return df.join(right, df[on] == F.col("_on"), how)
