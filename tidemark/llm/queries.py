@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, language_id, minhash, packing, quality, secrets, sharding, topk_search, toxicity
+from tidemark.llm import decontamination, language_id, line_dedup, minhash, packing, quality, secrets, sharding, topk_search, toxicity
 from tidemark.llm.common import crc_fold, table
 
 
@@ -55,6 +55,10 @@ def op5_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeated_lines(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(docs, crc_fold("doc_id", 5) != 0)
@@ -86,6 +90,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_topk_search": op4_topk_search,
     "op5_kd_sharding": op5_kd_sharding,
+    "op6_line_dedup": op6_line_dedup,
     "op7_language_id": op7_language_id,
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
