@@ -110,13 +110,18 @@ class DebouncedWait(StatefulProcessor):
             if at is not None:
                 self.handle.registerTimer(int(at * 1000))
 
+    @staticmethod
+    def _row(chat: str, wait: Wait, now: float, reason: str) -> pd.DataFrame:
+        text = {"chat_id": pd.Series([chat], dtype=object), "reason": pd.Series([reason], dtype=object)}
+        return pd.DataFrame(text | {"first": pd.Series([wait.first], dtype="float64"), "last": pd.Series([wait.last], dtype="float64"), "fired": [now]})[WAKE.names]
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now, wait = timerValues.getCurrentProcessingTimeInMs() / 1000, self._load()
         for frame in rows:
             for e in frame.sort_values("sequence").itertuples():
                 wait = wait.on_event(now, bool(e.is_self), bool(e.resync), self.include_self)
         self._store(wait)
-        yield pd.DataFrame({c: [] for c in WAKE.names})
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now, wait = expiredTimerInfo.getExpiryTimeInMs() / 1000, self._load()
@@ -124,10 +129,10 @@ class DebouncedWait(StatefulProcessor):
         if due is not None and now >= due - 1e-3:
             reason = "capped" if wait.last + self.settle > due else "settled"
             self._store(Wait())
-            yield pd.DataFrame({"chat_id": [key[0]], "first": [wait.first], "last": [wait.last], "fired": [now], "reason": [reason]})
+            yield self._row(key[0], wait, now, reason)
         elif wait.recheck is not None and now >= wait.recheck - 1e-3:
             self._store(replace(wait, recheck=None))
-            yield pd.DataFrame({"chat_id": [key[0]], "first": [wait.first], "last": [wait.last], "fired": [now], "reason": ["recheck"]})
+            yield self._row(key[0], wait, now, "recheck")
 
 
 def debounced(events: DataFrame, settle: float = 15.0, include_self: bool = False) -> DataFrame:
