@@ -110,9 +110,10 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
     """Adds lang_pred and score (0 to 1) to the columns ``keep`` (default: all), from the whole text alone.
 
     Null texts and texts without a letter are ``und`` with score 0, and so is everything if
-    nothing could be learned. Equal texts get equal results; other columns pass through.
+    nothing could be learned. Equal texts get equal results; other columns pass through, an input column
+    with an output's name is replaced.
     """
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # dims x models weights
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_whole_text"))
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("lang_pred", "string").add("score", "double")

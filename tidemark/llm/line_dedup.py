@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, restricted
+from tidemark.llm.common import ASCII_SPACE, materialize, restricted
 
 #: Counters for token rarity; a fixed size, shared by tokens that collide.
 COUNTERS = 1 << 16
-POSITION = "struct<doc_id:bigint,line_no:int>"
+#: Rows of two numbers that are broadcast at most; beyond them both sides are shuffled.
+MOST_BROADCAST = 4_000_000
 
 
 def split_tokens(line: Column) -> Column:
-    """Lower-cased words between ASCII white space; empty strings may be among them."""
-    return F.split(F.translate(F.lower(line), "\t\r\x0b\x0c", "    "), " ", -1)
+    """Lower-cased words between ASCII white space; empty strings may be at the ends."""
+    return F.split(F.lower(line), ASCII_SPACE, -1)
 
 
 def token_ranks(docs: DataFrame) -> Column:
     """The rank of each counter, from the rarest on, counted over every word of ``docs``; a constant array."""
-    words = docs.select(F.explode(split_tokens(F.translate("text", "\n", " "))).alias("w")).where("w <> ''")
+    words = docs.select(F.explode(split_tokens(F.col("text"))).alias("w")).where("w <> ''")
     counts = {r["c"]: r["n"] for r in words.groupBy(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).cast("int").alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
     order = sorted(range(COUNTERS), key=lambda c: (counts.get(c, 0), c))
     ranks = [0] * COUNTERS
@@ -62,8 +63,11 @@ def repeated_lines(docs: DataFrame, least_tokens: int = 5, tag: str = "lines") -
     Null and empty texts, rows without an id and shorter lines lose nothing. Rows that repeat a
     doc_id have one place, so identical ones don't remove each other. Other columns are ignored.
     """
+    docs = docs.select("doc_id", "text")
     ranks = token_ranks(docs.where(F.col("text").isNotNull()))
-    coded = lines(docs).select("doc_id", "line_no", token_codes(F.col("line"), ranks).alias("codes"))
+    # Codes come out of a generator, so that they are made once and not again for each use.
+    whole = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    coded = whole.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.transform(F.split("text", "\n", -1), lambda x: token_codes(x, ranks))).alias("line_no", "codes"))
     coded = coded.where(F.size("codes") >= least_tokens)
     p = materialize(
         coded.select("doc_id", "line_no", F.size("codes").alias("n"), F.xxhash64("codes").alias("s1"), F.xxhash64(F.lit(1), "codes").alias("s2"), prefix_keys(F.col("codes")).alias("keys")), f"{tag}-sets"
@@ -72,13 +76,17 @@ def repeated_lines(docs: DataFrame, least_tokens: int = 5, tag: str = "lines") -
     again = p.groupBy("s1", "s2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
     again = materialize(again.select(F.col("s1").alias("x1"), F.col("s2").alias("x2"), "first"), f"{tag}-again")
     same = p.join(again, (F.col("s1") == F.col("x1")) & (F.col("s2") == F.col("x2"))).where(place > F.col("first")).select("doc_id", "line_no", "first")
+    same = materialize(same, f"{tag}-same")
+    later = same.select(F.col("doc_id").alias("ld"), F.col("line_no").alias("ll"))
+    if later.count() <= MOST_BROADCAST:
+        later = F.broadcast(later)
+    firsts = p.join(later, (F.col("doc_id") == F.col("ld")) & (F.col("line_no") == F.col("ll")), "left_anti")
 
     # Keys that two different sets have.
-    live = p.select(F.explode("keys").alias("k"), "s1").groupBy("k").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("k")
+    live = firsts.select(F.explode("keys").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k")
     live = materialize(live, f"{tag}-live")
-    exploded = p.select("s1", "s2", "n", "doc_id", "line_no", F.posexplode("keys").alias("i", "k"))
-    post = restricted(exploded, live, "k").groupBy("k", "s1", "s2", "n", "i").agg(F.min(place).alias("at"))
-    post = materialize(post, f"{tag}-postings")
+    exploded = firsts.select("n", place.alias("at"), F.posexplode("keys").alias("i", "k"))
+    post = materialize(restricted(exploded, live, "k", most_rows=MOST_BROADCAST), f"{tag}-postings")
     hubs = post.groupBy("k").agg(F.min("at").alias("hub")).withColumnRenamed("k", "hk")
     hubs = hubs.join(post.select(F.col("k").alias("pk"), F.col("at").alias("pat"), F.col("n").alias("hub_n"), F.col("i").alias("hub_i")), (F.col("hk") == F.col("pk")) & (F.col("hub") == F.col("pat"))).select("hk", "hub", "hub_n", "hub_i")
     # The length filter, and the positional one: for the first neighbours in common, at most i tokens before them are

@@ -105,7 +105,7 @@ def sketch_postings(reps: DataFrame, k: int, least_shared: int) -> DataFrame:
 
 
 def exact_postings(docs: DataFrame, words: int) -> DataFrame:
-    """(v, rep, n, pos): the rarest n - ceil(0.8 n) + 1 shingles of each full set, in one rarest-first order."""
+    """(v, rep, label, n, pos): of documents with a label the rarest n - ceil(0.8 n) + 1 shingles of each full set, in one rarest-first order."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _slots(batches, lambda b: _packed([shingle_set(t.as_py(), words) for t in b.column(0)]))
@@ -117,18 +117,19 @@ def exact_postings(docs: DataFrame, words: int) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                vs, reps_, ns, places = [], [], [], []
-                for rep, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                vs, reps_, labels, ns, places = [], [], [], [], []
+                for rep, label, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1), strict=True):
                     v = shingle_set(text.as_py(), words)
                     n = len(v)
                     v = v[np.lexsort((v, rarity[v & (COUNTERS - 1)]))][: n - (-(-4 * n // 5)) + 1]
                     vs.append(v)
                     reps_.append(np.full(len(v), rep))
+                    labels.append(np.full(len(v), label))
                     ns.append(np.full(len(v), n))
                     places.append(np.arange(len(v)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (vs, reps_, ns, places)], names=["v", "rep", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (vs, reps_, labels, ns, places)], names=["v", "rep", "label", "n", "pos"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "v long, rep long, n long, pos long")
+    return docs.select("doc_id", "text", "label").mapInArrow(run, "v long, rep long, label long, n long, pos long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, tag: str) -> DataFrame:
@@ -173,6 +174,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, k: int = 32, least_shared:
     their own component; rows without an id are linked with nothing either and are not kept.
     Repeated rows are rows of the same component; other columns are ignored.
     """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sk = materialize(sketches(docs, words, k), f"{tag}-sketches")
     whole = sk.where("set_hash is not null and doc_id is not null")
     classes = materialize(whole.groupBy("set_hash").agg(F.min("doc_id").alias("rep")), f"{tag}-classes")
@@ -180,7 +182,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, k: int = 32, least_shared:
     postings = materialize(sketch_postings(reps, k, least_shared), f"{tag}-postings")
     lists = postings.groupBy("v").agg(F.min("rep").alias("hub"), F.min_by("n", "rep").alias("hub_n"), F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("v").alias("lv"), "hub", "hub_n")
     alike = "5 * least(n, hub_n) >= 4 * greatest(n, hub_n)"
-    stars = postings.join(lists, F.col("v") == F.col("lv")).where("rep <> hub").where(alike).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    listed = materialize(postings.join(lists, F.col("v") == F.col("lv")).drop("lv"), f"{tag}-listed")
+    stars = listed.where("rep <> hub").where(alike).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     # The estimate from the union sketch; a union under k values is whole, and the estimate exact.
     a, b = reps.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), reps.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb"))
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
@@ -189,14 +192,13 @@ def near_duplicates(docs: DataFrame, words: int = 4, k: int = 32, least_shared:
     edges = verified(likely, docs, words, f"{tag}-star")
     found = components(edges, f"{tag}-cc")
 
-    labelled = postings.join(found.select("id", F.col("component_id").alias("label")), F.col("rep") == F.col("id"), "left").select("v", "rep", F.coalesce("label", "rep").alias("label"))
+    labelled = listed.join(found.select("id", F.col("component_id").alias("label")), F.col("rep") == F.col("id"), "left").select("v", "rep", F.coalesce("label", "rep").alias("label"))
     labelled = materialize(labelled, f"{tag}-labelled")
     mixed = labelled.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(F.col("v").alias("mv"))
     rest = materialize(labelled.join(mixed, F.col("v") == F.col("mv"), "left_semi").groupBy("rep").agg(F.min("label").alias("label")), f"{tag}-rest")
     if rest.limit(1).count():
-        texts = restricted(docs.select("doc_id", "text"), rest, "doc_id")
-        exact = exact_postings(texts, words)
-        exact = materialize(exact.join(rest, "rep"), f"{tag}-exact")
+        label_of = F.broadcast(rest) if rest.count() <= 1_000_000 else rest
+        exact = materialize(exact_postings(docs.join(label_of, F.col("doc_id") == F.col("rep")).select("doc_id", "text", "label"), words), f"{tag}-exact")
         x = exact.select("v", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("pos").alias("pa"))
         y = exact.select("v", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
         fits = "a < b and la <> lb and 5 * least(na, nb) >= 4 * greatest(na, nb) and 9 * least(na - pa, nb - pb) >= 4 * (na + nb)"

@@ -129,9 +129,9 @@ def score(docs: DataFrame, model: QualityModel, keep: list[str] | None = None) -
     """Adds score (0 to 1, higher: label 1 likelier) to the columns ``keep`` (default: all), from the whole text alone.
 
     Null and empty texts have no indicator and get the score of the bias; without labels of both
-    classes every score is the same. Other columns pass through.
+    classes every score is the same. Other columns pass through; an input column with an output's name is replaced.
     """
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score",)]
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # DIMS weights
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_whole_text"))
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("score", "double")

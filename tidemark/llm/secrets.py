@@ -128,9 +128,9 @@ def scan(docs: DataFrame, models: MarkovModels, least_signs: int = 20, least_rat
     or more and with a digit, that overlap no base span and whose log-likelihood ratio is
     ``least_ratio`` thousandths of a nat a pair or more. Both are array<struct<start, pos, end, kind,
     s>> by start, then kind; positions are code points, ends exclusive. Null and empty texts have no
-    span. Only built-in functions are used, in one pass without a shuffle.
+    span; an input column named base or markov is replaced. Only built-in functions are used, in one pass without a shuffle.
     """
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("base", "markov")]
     text = F.coalesce(F.col("text"), F.lit(""))
     quick = {"assign": text.rlike("[:=]\\x20*[\"']?[A-Za-z0-9+/_.=-]{6}"), "access": F.contains(text, F.lit("AKIA")), "hex": text.rlike("[0-9a-f]{24}")}
     spans = None

@@ -223,7 +223,7 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None)
     Only the whole text decides. Null and empty texts, and texts without a term of the
     vocabulary, get the rate of label 1 among such examples and no evidence.
     """
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "evidence", "terms")]
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded by examples and terms
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_whole_text"))
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("score", "double").add("evidence", T.ArrayType(T.LongType())).add("terms", T.ArrayType(T.StringType()))
