@@ -11,12 +11,13 @@ ASSIGN = (
     "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
     "[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 )
-ACCESS = "AKIA[A-Z0-9]+"
-HEX = "[0-9a-f]+"
+# A match of these two that is too short leaves nothing behind that could match, so the least length may stand in the pattern.
+ACCESS = "AKIA[A-Z0-9]{16,}"
+HEX = "[0-9a-f]{24,}"
 #: Kinds in the order of ties, with their pattern, the group whose length counts, and the least length.
 RULES = (("assign", ASSIGN, 2, 6), ("access", ACCESS, 0, 20), ("hex", HEX, 0, 24))
-#: What the models look at: runs of these signs that are long enough and hold a digit.
-CANDIDATE = "[A-Za-z0-9+/_=-]+"
+#: What the models look at: whole runs of these signs with a digit in them; the least length comes behind.
+CANDIDATE = "(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]"
 #: Signs of the models; anything else is the last one.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIGNS = len(ALPHABET) + 1
@@ -57,11 +58,14 @@ def signs(s: Column) -> Column:
 
 def bigrams(s: Column) -> Column:
     """0-based codes of the pairs of neighbouring signs."""
-    c = signs(s)
+    return pairs_of(signs(s))
+
+
+def pairs_of(c: Column) -> Column:
     return F.zip_with(F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), lambda a, b: (a - 1) * SIGNS + b - 1)
 
 
-def labelled_samples(docs: DataFrame, documents: int = 2000, strings: int = 4000) -> DataFrame:
+def labelled_samples(docs: DataFrame, documents: int = 500, strings: int = 4000) -> DataFrame:
     """(s, random): labelled samples for the models, both bounded by parameters.
 
     Random ones are ``strings`` digests, cut from base64, base-36-like and hexadecimal spellings of
@@ -110,7 +114,8 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> MarkovModels:
     """Counts pairs of signs in both kinds; P(next | sign) with additive smoothing. The driver sees SIGNS**2 counts."""
     from math import log
 
-    counts = samples.where(F.col("s").isNotNull()).select("random", F.explode(bigrams(F.col("s"))).alias("b")).groupBy("b").agg(F.count_if("random").alias("r"), F.count_if(~F.col("random")).alias("o"))
+    coded = samples.where(F.col("s").isNotNull()).select("random", F.inline(F.array(F.struct(signs(F.col("s")).alias("c")))))
+    counts = coded.select("random", F.explode(pairs_of(F.col("c"))).alias("b")).groupBy("b").agg(F.count_if("random").alias("r"), F.count_if(~F.col("random")).alias("o"))
     found = {r["b"]: (r["r"], r["o"]) for r in counts.collect()}
     ratios = []
     for a in range(SIGNS):
@@ -137,15 +142,17 @@ def scan(docs: DataFrame, models: MarkovModels, least_signs: int = 20, least_rat
     for pos, (kind, pattern, group, least) in enumerate(RULES):
         own = tagged(matches(text, pattern, group, least, quick[kind]), pos, kind)
         spans = own if spans is None else F.concat(spans, own)
-    based = docs.select(*[F.col(f"`{c}`") for c in keep], text.alias("_whole_text"), F.array_sort(spans).alias("base"))
+    # Spans come out of generators, so that they are found once and not again for each use.
+    based = docs.select(*[F.col(f"`{c}`") for c in keep], text.alias("_whole_text"), F.inline(F.array(F.struct(F.array_sort(spans).alias("base")))))
     whole = F.col("_whole_text")
-    found = matches(whole, CANDIDATE, 0, least_signs, whole.rlike(f"[A-Za-z0-9+/_=-]{{{least_signs}}}"))
+    candidate = f"{CANDIDATE}{{{least_signs},}}"
+    found = matches(whole, candidate, 0, least_signs, whole.rlike(candidate))
     free = F.filter(
         found,
-        lambda m: m["s"].rlike("[0-9]") & ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])) & (models.llr(m["s"]) >= F.lit(least_ratio) * (F.char_length(m["s"]) - 1)),
+        lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])) & (models.llr(m["s"]) >= F.lit(least_ratio) * (F.char_length(m["s"]) - 1)),
     )
     markov = tagged(free, len(RULES), "markov")
-    return based.select(*[F.col(f"`{c}`") for c in keep], "base", markov.alias("markov"))
+    return based.select(*[F.col(f"`{c}`") for c in keep], F.inline(F.array(F.struct("base", markov.alias("markov")))))
 
 
 def spelled(spans: Column) -> Column:
