@@ -1,13 +1,15 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index."""
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over all their terms."""
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +26,8 @@ BLOCK = 128
 BEGINNINGS = (4, 5, 6, 7)
 #: Shares of a text's words at which a beginning gets a further term, and counts at which it does.
 SHARES, COUNTS = (0.005, 0.01, 0.02, 0.04), (2, 4)
+#: Times the root of its chi-square: the weight of a term associated with label 1, against 1 of any other.
+BOOST = 4.0
 
 
 def words(text: str | None) -> list[str]:
@@ -50,20 +54,65 @@ def term_counts(found: list[str], n: int) -> dict[str, int]:
 
 
 class Vocabulary:
-    """Chosen terms; a look at a word's first letters tells whether it can matter at all."""
+    """The terms of the examples, sorted; ``strong``: those associated with label 1, with what they weigh more than others.
 
-    def __init__(self, terms: list[str]):
-        self.at = {t: k for k, t in enumerate(terms)}
-        self.stems = {t.partition("*")[0][: BEGINNINGS[0]] for t in terms}
+    Words are looked up once and then kept with the terms that they give.
+    """
 
-    def counts(self, text: str | None) -> dict[int, int]:
-        own, stems, size = words(text), self.stems, BEGINNINGS[0]
-        found = [w for w in own if w[:size] in stems]
-        return {self.at[t]: c for t, c in term_counts(found, len(own)).items() if t in self.at} if found else {}
+    def __init__(self, terms: pa.Array, strong: dict[str, float] | None = None):
+        self.terms, self.strong, self.size = terms, strong or {}, len(terms)
+
+    def __getstate__(self):
+        return {"terms": self.terms, "strong": self.strong, "size": self.size}
+
+    def __getattr__(self, name: str):
+        if name == "boost":
+            self.boost = np.ones(self.size)
+            self.boost[pc.index_in(pa.array(list(self.strong), pa.string()), self.terms).to_numpy()] = list(self.strong.values())
+            return self.boost
+        if name not in ("at", "marks", "rows", "table"):
+            raise AttributeError(name)
+        self.at = {t: k for k, t in enumerate(self.terms.to_pylist())}
+        #: By head: the terms that mark its recurrence.
+        self.marks = np.full((self.size, len(COUNTS) + len(SHARES)), -1, dtype=np.int32)
+        ends = {str(x): j for j, x in enumerate((*COUNTS, *SHARES))}
+        for t, k in self.at.items():
+            head, star, end = t.partition("*")
+            if star and end:
+                self.marks[self.at[f"{head}*"], ends[end]] = k
+        self.rows, self.table = {}, np.full((1024, 1 + len(BEGINNINGS)), -1, dtype=np.int32)
+        return self.__dict__[name]
+
+    def row(self, word: str) -> int:
+        if len(self.rows) == len(self.table):
+            self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
+        k = self.rows[word] = len(self.rows)
+        self.table[k] = [self.at.get(word, -1), *(self.at.get(word[:n] + "*", -1) if len(word) > n else -1 for n in BEGINNINGS)]
+        return k
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and their counts, as ``term_counts`` has them, of terms in the vocabulary."""
+        own = words(text)
+        if not own or not self.size:
+            return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
+        found, rows = Counter(own), self.rows
+        if len(rows) + len(found) > 500_000:
+            rows.clear()
+        at = [rows[w] if w in rows else self.row(w) for w in found]
+        ids = self.table[at].ravel()
+        term, inverse = np.unique(ids, return_inverse=True)
+        tf = np.bincount(inverse, weights=np.repeat(list(found.values()), 1 + len(BEGINNINGS)))
+        if term[0] < 0:
+            term, tf = term[1:], tf[1:]
+        twice = np.flatnonzero(tf >= 2)
+        least = np.array([*COUNTS, *(share * len(own) for share in SHARES)])
+        marks = self.marks[term[twice]]
+        marks = marks[(tf[twice][:, None] >= least) & (marks >= 0)]
+        return np.concatenate([term, marks]), np.concatenate([tf, np.ones(len(marks))]).astype(np.int32)
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors by term, in blocks of BLOCK examples with the largest weight of each."""
+    """Postings of unit vectors by term, in blocks of BLOCK examples with the largest weight of each; terms x blocks numbers, so for few terms."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
         self.n = len(vectors)
@@ -99,39 +148,121 @@ class BlockMaxIndex:
         return best
 
 
+class ExampleIndex:
+    """Unit vectors of the examples, by example and by term: exact nearest ones for batches of queries, over all terms.
+
+    Terms of FREQUENT of the examples or more are a dense matrix of single precision and the others postings; every
+    example that can be among the k nearest by their sum is scored again in double precision.
+    """
+
+    FREQUENT, MOST_DENSE, SLACK = 1 / 16, 2048, 1e-4
+
+    def __init__(self, start: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int):
+        """Example i has the terms and weights from start[i] to start[i + 1]."""
+        self.n, self.start, self.term, self.weight = len(start) - 1, start, term, weight
+        doc = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.start))
+        df = np.bincount(self.term, minlength=terms)
+        often = np.argsort(-df, kind="stable")[: self.MOST_DENSE]
+        often = often[df[often] >= max(1, self.FREQUENT * self.n)]
+        self.column = np.full(terms, -1, dtype=np.int32)
+        self.column[often] = np.arange(len(often))
+        column = self.column[self.term]
+        dense = column >= 0
+        self.dense = np.zeros((len(often), self.n), dtype=np.float32)
+        self.dense[column[dense], doc[dense]] = self.weight[dense]
+        rare = np.flatnonzero(~dense)
+        del column, dense
+        rare = rare[np.argsort(self.term[rare], kind="stable")]
+        self.post_doc, self.post_weight = doc[rare].astype(np.int64), self.weight[rare]
+        self.post_start = np.concatenate([[0], np.cumsum(np.bincount(self.term[rare], minlength=terms))])
+        self.query = np.zeros(terms)
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """The k examples of highest cosine above 0 of each query, ties to the first."""
+        if not self.n:
+            return [[] for _ in queries]
+        q = np.zeros((len(queries), len(self.dense)), dtype=np.float32)
+        for r, (term, weight) in enumerate(queries):
+            column = self.column[term]
+            q[r, column[column >= 0]] = weight[column >= 0]
+        rough, out = q @ self.dense, []
+        for r, (term, weight) in enumerate(queries):
+            some = self.column[term] < 0
+            lists = [slice(*x) for x in zip(self.post_start[term[some]].tolist(), self.post_start[term[some] + 1].tolist(), strict=True)]
+            scores = rough[r]
+            if lists:
+                w = np.concatenate([x * self.post_weight[i] for x, i in zip(weight[some].tolist(), lists, strict=True)])
+                scores = scores + np.bincount(np.concatenate([self.post_doc[i] for i in lists]), weights=w, minlength=self.n)
+            if without is not None:
+                scores[without[r]] = 0
+            least = np.partition(scores, self.n - k)[self.n - k] if self.n > k else 0
+            near = np.flatnonzero((scores >= least - self.SLACK) & (scores > 0))
+            self.query[term] = weight
+            at = ranges(self.start, near)
+            exact = np.add.reduceat(self.query[self.term[at]] * self.weight[at], np.cumsum([0, *np.diff(self.start)[near][:-1]])) if len(near) else []
+            self.query[term] = 0
+            out.append(sorted(((round(float(x), 9), int(i)) for x, i in zip(exact, near, strict=True)), key=lambda x: (-x[0], x[1]))[:k])
+        return out
+
+
+def ranges(start: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """All positions of the lists ``which``, one list after the other."""
+    n = start[which + 1] - start[which]
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[which] - ends + n, n)
+
+
 class ToxicityModel:
     """Terms, their inverse document frequencies over all documents, and the labelled examples.
 
     A score is the similarity-weighted share of toxic ones among the k nearest examples, with
     ``prior`` votes at the examples' own rate, through a sigmoid fitted leaving each example out.
-    A text without a term has no neighbour and gets the rate among examples without a term.
+    A text that shares no term with an example has no neighbour and gets the rate among examples without a term.
     """
 
-    def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], k: int = 25, prior: float = 1.0, calibrated: int = 2000):
+    def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, examples: list[tuple[int, int, tuple[np.ndarray, np.ndarray]]], k: int = 25, prior: float = 1.0, calibrated: int = 2000):
         self.vocabulary, self.idf, self.k, self.prior = vocabulary, idf, k, prior
         examples = sorted(examples, key=lambda e: e[0])
         y = np.array([label for _, label, _ in examples], dtype=np.float64)
         self.rate = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.5
-        bare = [label for _, label, counts in examples if not counts]
+        bare = [label for _, label, (term, _) in examples if not len(term)]
         self.bare = (sum(bare) + self.rate) / (len(bare) + 1)
-        self.ids = np.array([e[0] for e in examples if e[2]], dtype=np.int64)
-        self.labels = np.array([e[1] for e in examples if e[2]], dtype=np.float64)
-        vectors = [self.vector(e[2]) for e in examples if e[2]]
-        self.index = BlockMaxIndex(vectors, len(vocabulary.at))
-        self.names = list(vocabulary.at)
+        some = [e for e in examples if len(e[2][0])]
+        self.ids = np.array([e[0] for e in some], dtype=np.int64)
+        self.labels = np.array([e[1] for e in some], dtype=np.float64)
+        #: Shipped as terms and counts; the index is made from them where it is used.
+        self.start = np.cumsum([0, *(len(e[2][0]) for e in some)])
+        self.term, self.tf = (np.concatenate([np.zeros(0, dtype=np.int32), *(e[2][j] for e in some)]) for j in range(2))
+        size, examples, some = len(some), None, None  # their arrays are not needed any more
         self.a, self.b = 1.0, 0.0
         self.memo: dict = {}
-        some = range(0, len(vectors), max(1, len(vectors) // calibrated))
-        if some:
-            raw = np.array([self.vote(self.index.nearest(*vectors[i], k, without=i)) for i in some])
-            if 0 < self.labels[list(some)].sum() < len(some):
-                self.a, self.b = fit_sigmoid(np.log(raw / (1 - raw)), self.labels[list(some)])
+        at = list(range(0, size, max(1, size // calibrated)))
+        if at:
+            raw = []
+            for i in range(0, len(at), BLOCK):
+                part = at[i : i + BLOCK]
+                raw += [self.vote(near) for near in self.index.nearest([self.vector(self.term[s:e], self.tf[s:e]) for s, e in zip(self.start[part], self.start[np.add(part, 1)], strict=True)], k, without=part)]
+            raw = np.array(raw)
+            del self.index
+            if 0 < self.labels[at].sum() < len(at):
+                self.a, self.b = fit_sigmoid(np.log(raw / (1 - raw)), self.labels[at])
                 if self.a <= 0:  # calibration never turns the order of the votes around
                     self.a, self.b = 1.0, 0.0
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        term = np.array(sorted(counts), dtype=np.int64)
-        weight = np.array([1 + np.log(counts[t]) for t in term]) * self.idf[term]
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "index"}
+
+    def __getattr__(self, name: str):
+        if name != "index":
+            raise AttributeError(name)
+        weight = (1 + np.log(self.tf)) * self.idf[self.term] * self.vocabulary.boost[self.term]
+        if len(weight):
+            weight /= np.repeat(np.sqrt(np.add.reduceat(weight**2, self.start[:-1])), np.diff(self.start))
+        self.index = ExampleIndex(self.start, self.term, weight, self.vocabulary.size)
+        return self.index
+
+    def vector(self, term: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        weight = (1 + np.log(tf)) * self.idf[term] * self.vocabulary.boost[term]
         return term, weight / np.sqrt((weight**2).sum())
 
     def vote(self, near: list[tuple[float, int]]) -> float:
@@ -139,27 +270,30 @@ class ToxicityModel:
         marks = self.labels[[i for _, i in near]] if near else np.zeros(0)
         return float(np.clip(((sims * marks).sum() + self.prior * self.rate) / (sims.sum() + self.prior), 1e-6, 1 - 1e-6))
 
-    def score(self, text: str | None) -> tuple[float, list[int], list[str]]:
-        counts = self.vocabulary.counts(text)
-        if not counts:
-            return float(self.bare), [], []
-        key = tuple(sorted(counts.items()))
-        if key not in self.memo:
-            if len(self.memo) >= 50_000:
-                self.memo.clear()
-            near = self.index.nearest(*self.vector(counts), self.k)
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[int], list[str]]]:
+        keys = [hashlib.blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
+        if len(self.memo) >= 50_000:
+            self.memo.clear()
+        new = {k: t for k, t in zip(keys, texts, strict=True) if k not in self.memo}
+        found = {k: self.vocabulary.counts(t) for k, t in new.items()}
+        full = [k for k, (term, _) in found.items() if len(term)]
+        self.memo.update({k: (float(self.bare), [], []) for k in found})
+        for k, near in zip(full, self.index.nearest([self.vector(*found[k]) for k in full], self.k), strict=True):
             raw = self.vote(near)
-            self.memo[key] = float(sigmoid(np.array(self.a * np.log(raw / (1 - raw)) + self.b))), [int(self.ids[i]) for _, i in near[:5]]
-        value, evidence = self.memo[key]
-        return value, evidence, sorted(self.names[t] for t in counts)
+            value = float(sigmoid(np.array(self.a * np.log(raw / (1 - raw)) + self.b)))
+            term = found[k][0]
+            strong = term[self.vocabulary.boost[term] > 1]
+            self.memo[k] = value, [int(self.ids[i]) for _, i in near[:5]], sorted(self.vocabulary.terms[int(t)].as_py() for t in strong)
+        return [self.memo[k] for k in keys]
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", examples: int = 8_000, terms: int = 1024, least_chi2: float = 30.0) -> ToxicityModel:
     """Fits on a bounded sample: the ``examples`` labelled ids first in a fixed hash order.
 
-    The vocabulary is the at most ``terms`` terms (see ``term_counts``) most associated with label 1 among the examples
-    (chi-square at ``least_chi2`` or more, in 5 examples and 0.1 % of them at least); each term's
-    document frequency is counted over all documents. Null labels, ids and texts are left out; an
+    The vocabulary is every term (see ``term_counts``) of the examples; each term's document
+    frequency is counted over all documents. The at most ``terms`` terms most associated with label 1 among
+    the examples (chi-square at ``least_chi2`` or more, in 5 examples and 0.1 % of them at least) weigh
+    more, by BOOST times the root of chi-square. Null labels, ids and texts are left out; an
     id labelled more than once counts once, with its largest label.
     """
     known = labels.where(learn & F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max(label_col) > 0).cast("int").alias("_y"))
@@ -187,41 +321,49 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
     expected = F.col("n") * F.lit(toxic / max(1, total))
     chi2 = F.pow(F.col("up") - expected, 2) / (expected * (1 - F.col("n") / F.lit(max(1, total)) + F.lit(1e-9)) * F.lit(max(1e-9, 1 - toxic / max(1, total))))
     chosen = counts.where((F.col("term") != "") & (F.col("n") >= max(5, total // 1000)) & (F.col("up") > expected)).withColumn("chi2", chi2).where(F.col("chi2") >= least_chi2)
-    vocabulary = Vocabulary([r["term"] for r in chosen.orderBy(F.desc("chi2"), "term").limit(terms).collect()])
-    shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)  # at most ``terms`` terms
+    strong = {r["term"]: max(1.0, BOOST * r["chi2"] ** 0.5) for r in chosen.orderBy(F.desc("chi2"), "term").limit(terms).collect()}
+    every = counts.where("term != ''").select("term").toArrow()["term"].combine_chunks()
+    vocabulary = Vocabulary(every.take(pc.sort_indices(every)), strong)  # bounded by the texts of the examples
+    shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, rows = Counter(), 0
+        n, rows = np.zeros(shipped.value.size, dtype=np.int64), 0
         for batch in batches:
             for text in batch.column(0):
                 rows += 1
-                n.update(shipped.value.counts(text.as_py()).keys())
-        n[-1] = rows
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int32()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
+                n[shipped.value.counts(text.as_py())[0]] += 1
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *some], pa.int32()), pa.array([rows, *n[some]], pa.int64())], names=["term", "n"])
 
-    df = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(document_frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    everything = df.pop(-1, 0)
-    idf = np.array([np.log((1 + everything) / (1 + df.get(t, 0))) + 1 for t in range(len(vocabulary.at))])
+    df = docs.select("text").mapInArrow(document_frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(1 + vocabulary.size)
+    n[df["term"].to_numpy() + 1] = df["n"].to_numpy()
+    idf = np.log((1 + n[0]) / (1 + n[1:])) + 1
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shipped.value.counts(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], names=["doc_id", "y", "term", "tf"]
+                [batch.column(0), batch.column(1), pa.array([c[0] for c in found], pa.list_(pa.int32())), pa.array([c[1] for c in found], pa.list_(pa.int32()))], names=["doc_id", "y", "term", "tf"]
             )
 
-    found = labelled.mapInArrow(vectors, "doc_id long, y int, term array<int>, tf array<int>").limit(2 * examples).toArrow().to_pylist()
     kept = {}
-    for r in found:
-        kept[r["doc_id"]] = max(kept.get(r["doc_id"], (r["y"], {})), (r["y"], dict(zip(r["term"], r["tf"], strict=True))), key=lambda x: sorted(x[1].items()))
-    return ToxicityModel(vocabulary, idf, [(i, y, c) for i, (y, c) in kept.items()])
+    for batch in labelled.mapInArrow(vectors, "doc_id long, y int, term array<int>, tf array<int>").limit(2 * examples).toArrow().to_batches():
+        for i, y, term, tf in zip(*batch.columns, strict=True):
+            new = y.as_py(), (term.values.to_numpy(), tf.values.to_numpy())
+            if i.as_py() in kept:
+                new = max(kept[i.as_py()], new, key=lambda x: sorted(zip(*(c.tolist() for c in x[1]), strict=True)))
+            kept[i.as_py()] = new
+    found = [(i, y, c) for i, (y, c) in kept.items()]
+    kept.clear()
+    return ToxicityModel(vocabulary, idf, found)
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None) -> DataFrame:
     """Adds score (0 to 1), evidence (ids of the nearest examples) and terms to the columns ``keep`` (default: all).
 
-    Only the whole text decides. Null and empty texts, and texts without a term of the
-    vocabulary, get the rate of label 1 among such examples and no evidence.
+    Only the whole text decides. ``terms`` are those associated with label 1. Null and empty texts, and texts that
+    share no term with an example, get the rate of label 1 among examples without a term and no evidence.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "evidence", "terms")]
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded by examples and terms
@@ -231,7 +373,8 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
         for batch in batches:
-            out = [model.score(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+            texts = batch.column(batch.num_columns - 1)
+            out = [x for i in range(0, len(texts), BLOCK) for x in model.scores(texts[i : i + BLOCK].to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array([o[0] for o in out], pa.float64()), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array([o[2] for o in out], pa.list_(pa.string()))],
                 names=[*keep, "score", "evidence", "terms"],
