@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tests.llm.test_operators import docs
-from tidemark.llm import toxicity
+from tidemark.llm import line_dedup, queries, toxicity
 
 
 def test_toxicity_searches_every_term(spark):
@@ -35,3 +35,20 @@ def test_toxicity_searches_every_term(spark):
         want = sorted((-round(float(s), 9), j) for j, s in enumerate(dense[:400] @ dense[i]) if s > 0)[:5]
         assert got[i] == [j for _, j in want]
     assert all(got[400 + k][0] == 10 * k for k in range(40)) and got[440] == got[441] == []
+
+
+def test_short_lines_are_compared(spark, tmp_path):
+    """Lines of one to six words by brute force, in the query and in the pipeline's stage."""
+    import corpus_pipeline as P
+
+    rng = random.Random(12)
+    texts = ["\n".join(" ".join(rng.choices("abcdefg", k=rng.randrange(7))) for _ in range(4)) for _ in range(40)] + ["a b c d", "a b c d e", "\u4f60\u597d", "\u4f60\u597d", "Les.", "les.", " \n"]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    sets = [((i, k), set(x.lower().split())) for i, t in enumerate(texts) for k, x in enumerate(t.split("\n"))]
+    sets = [(p, s) for p, s in sets if s]
+    want = {p for j, (p, s) in enumerate(sets) if any(5 * len(s & o) >= 4 * len(s | o) for _, o in sets[:j])}
+    assert {(43, 0), (45, 0)} <= want
+    assert {(r["doc_id"], r["line_no"]) for r in queries.op6_line_dedup(spark, str(tmp_path)).collect()} == want
+    out = {r["doc_id"]: r["text"] for r in P.drop_repeated_lines(spark, docs(spark, texts), "").collect()}
+    kept = {i: [x for k, x in enumerate(t.split("\n")) if (i, k) not in want] for i, t in enumerate(texts)}
+    assert out == {i: "\n".join(x) for i, x in kept.items() if x}

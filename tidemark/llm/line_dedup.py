@@ -40,9 +40,11 @@ def prefix_keys(codes: Column) -> Column:
 
     Let sets with Jaccard 0.8 or more have d and e tokens of their own. 2 d + e is at most
     2 n div 5, so the prefix holds d + e + 2 common tokens at least, in both sets; the d + e own
-    tokens can't part all of these, and two common tokens are neighbours in both sets.
+    tokens can't part all of these, and two common tokens are neighbours in both sets. Sets under four tokens resemble
+    none but their equals, and have no keys.
     """
     length = F.least(F.size(codes), F.floor(F.size(codes) * 2 / 5 + 1e-9).cast("int") + 2)
+    length = F.when(F.size(codes) < 4, 1).otherwise(length)
     return F.zip_with(F.slice(codes, 1, length - 1), F.slice(codes, 2, length - 1), lambda a, b: F.xxhash64(a, b))
 
 

@@ -56,7 +56,7 @@ def op5_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.repeated_lines(table(spark, sf_dir, "documents"))
+    return line_dedup.repeated_lines(table(spark, sf_dir, "documents"), least_tokens=1)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
