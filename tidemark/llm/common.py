@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,14 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one is set only where the session names none."""
+    """The folder of ``spark.checkpoint.dir``; where the session names none, a temporary one in local mode, else one in the warehouse."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+        alone = re.match(r"local(\[|$)", spark.sparkContext.master) is not None
+        path = f"file://{tempfile.mkdtemp(prefix='tidemark-')}" if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/tidemark"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+#: Shuffle files of a written table are of no more use; Spark removes them at the end of the write.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back.
 
@@ -35,8 +41,22 @@ def materialize(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidemark_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialize`` returned and that nothing will read again."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._tidemark_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def crc_fold(doc_id: str | Column, folds: int) -> Column:
@@ -112,3 +132,9 @@ def restricted(df: DataFrame, ids: DataFrame, on: str, how: str = "left_semi", m
     if right.count() <= most_rows:
         right = F.broadcast(right)
     return df.join(right, df[on] == F.col("_on"), how)
+
+
+def small(df: DataFrame, row_bytes: str, most_bytes: int = 32 << 20) -> DataFrame:
+    """``df``, to be broadcast if its rows, of ``row_bytes`` each (an expression), take at most ``most_bytes``; else as it is."""
+    size = df.agg(F.sum(F.expr(row_bytes)).alias("n")).head()["n"] or 0
+    return F.broadcast(df) if size <= most_bytes else df
