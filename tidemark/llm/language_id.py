@@ -10,9 +10,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import sample_order
 from tidemark.llm.linear import batch_scores, fit_dense, ngram_frequencies, sigmoid
+from tidemark.llm.words import byte_slices
 
 #: Families of closely related languages; a language that is not listed is a family of its own.
 FAMILIES = {
@@ -102,7 +104,8 @@ def train(docs: DataFrame, learn: Column, rows_per_language: int = 400, dims: in
         if seen[r["lang"]] < rows_per_language:
             seen[r["lang"]] += 1
             taken.append(r)
-    x = np.array([np.frombuffer(r["x"], dtype=np.float32) for r in taken]) if taken else np.zeros((0, dims), np.float32)
+    found.clear()
+    x = np.array([np.frombuffer(r.pop("x"), dtype=np.float32) for r in taken]) if taken else np.zeros((0, dims), np.float32)
     return LanguageModel(x, [r["lang"] for r in taken], orders, scale)
 
 
@@ -115,14 +118,16 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # dims x models weights
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_whole_text"))
-    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("lang_pred", "string").add("score", "double")
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep])
+    # The text goes to Python once, as the column that is kept or as a further one.
+    source = kept if "text" in keep else docs.select(*[F.col(f"`{c}`") for c in keep], "text")
+    at = source.columns.index("text")
+    schema = T.StructType([*kept.schema.fields]).add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
-                langs, score = shipped.value.predict(batch.column(batch.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+            for batch in byte_slices(whole, at):
+                langs, score = shipped.value.predict(batch.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
     return source.mapInArrow(run, schema)

@@ -88,13 +88,14 @@ def fit_hinge(rows: int, dot: Callable[[int, np.ndarray], float], add: Callable[
 
 def fit_dense(x: np.ndarray, y: np.ndarray, cost: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights and bias; classes count alike."""
-    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)]).astype(np.float64)
     share = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
 
     def add(i: int, w: np.ndarray, by: float) -> None:
-        w += by * x[i]
+        w[:-1] += by * x[i]
+        w[-1] += by
 
-    w = fit_hinge(len(x), lambda i, w: x[i] @ w, add, (x**2).sum(axis=1), y, x.shape[1], cost * share)
+    norms = np.einsum("ij,ij->i", x, x, dtype=np.float64) + 1
+    w = fit_hinge(len(x), lambda i, w: x[i] @ w[:-1] + w[-1], add, norms, y, x.shape[1] + 1, cost * share)
     return w[:-1], float(w[-1])
 
 
