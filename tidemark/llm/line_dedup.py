@@ -22,7 +22,7 @@ COUNTERS = 1 << 16
 #: Bits of a code: a counter's rank (16) and, below it, a part of the token's hash; lines in a block have the bits above.
 CODE_BITS, HASH_BITS = 54, 38
 #: Postings that a task gathers before it deals them to buckets, and postings that a bucket is meant to hold.
-FLUSH, BUCKET = 2_000_000, 1_000_000
+FLUSH, BUCKET = 400_000, 400_000
 #: Sets that one deal puts under one key; any others meet the key's first set in a join, which adaptive execution splits.
 LOCAL = 8
 #: Bits of the filter of lines to verify, at most.
@@ -230,50 +230,54 @@ def postings(docs: DataFrame, ranks: np.ndarray, least_tokens: int, buckets: int
     return docs.mapInArrow(run, "b long, blob binary")
 
 
-FOUND = "kind int, k long, doc_id long, line_no int, s long, n int, i int, hub_doc long, hub_line int, hub_n int, hub_i int, hot boolean"
+FOUND = "kind int, k long, doc_id long, line_no int, n int, i int, hub_doc long, hub_line int, hub boolean"
+#: Kinds of rows: lines equal to an earlier one; postings under keys of several sets; postings beyond LOCAL; pairs with the first set of a key.
+SAME, LIVE, OVER, STAR = range(4)
 
 
 def listed(table: pa.Table) -> pa.Table:
-    """A bucket's rows of FOUND: kind 0, lines equal to an earlier one; 1, postings under keys of several sets, with the first set of the key; 2, postings beyond LOCAL."""
+    """A bucket's rows of FOUND; ``hub`` marks the first posting of a key that has postings beyond LOCAL."""
     got = unpacked(table.column("blob").to_pylist())
-    rows = {c: [] for c in ("kind", "k", "doc_id", "line_no", "s", "n", "i", "hub_doc", "hub_line", "hub_n", "hub_i", "hot")}
+    rows = {c: [] for c in ("kind", "k", "doc_id", "line_no", "n", "i", "hub_doc", "hub_line", "hub")}
 
-    def add(size: int, **columns) -> None:
+    def add(kind: int, **columns) -> None:
+        size = len(columns["doc_id"])
         for c, held in rows.items():
-            held.append(columns[c].astype(np.int64) if c in columns else np.zeros(size, dtype=np.int64))
+            held.append(columns[c].astype(np.int64) if c in columns else np.full(size, kind if c == "kind" else 0))
 
-    same, sets = got["same"], got["sets"]
+    same, sets, over, posts = got["same"], got["sets"], got["over"], got["posts"]
     first, later = first_of_equals(sets["s1"], sets["s2"], sets["doc"], sets["line"])
-    add(len(same["doc"]), doc_id=same["doc"], line_no=same["line"], hub_doc=same["hub_doc"], hub_line=same["hub_line"])
-    add(int(later.sum()), doc_id=sets["doc"][later], line_no=sets["line"][later], hub_doc=sets["doc"][first[later]], hub_line=sets["line"][first[later]])
-    over = got["over"]
-    add(len(over["k"]), kind=np.full(len(over["k"]), 2), k=over["k"], doc_id=over["doc"], line_no=over["line"], s=over["s"].view(np.int64), n=over["n"], i=over["i"])
-    posts = got["posts"]
+    add(SAME, doc_id=same["doc"], line_no=same["line"], hub_doc=same["hub_doc"], hub_line=same["hub_line"])
+    add(SAME, doc_id=sets["doc"][later], line_no=sets["line"][later], hub_doc=sets["doc"][first[later]], hub_line=sets["line"][first[later]])
+    add(OVER, k=over["k"], doc_id=over["doc"], line_no=over["line"], n=over["n"], i=over["i"])
     order = np.argsort(posts["k"])
     key = posts["k"][order]
-    alike = np.concatenate([key[1:] == key[:-1], [False]])[: len(key)]
-    alike[1:] |= alike[:-1].copy()
+    alike = np.zeros(len(key), dtype=bool)
+    alike[1:] = key[1:] == key[:-1]
+    alike[:-1] |= alike[1:]
     order = order[alike | np.isin(key, got["hot"]["k"])]
     p = {c: v[order] for c, v in posts.items()}
     order = np.lexsort((p["line"], p["doc"], p["s"], p["k"]))
-    p = {c: v[order] for c, v in p.items()}
-    first, _ = runs(p["k"], p["s"])
-    p = {c: v[first] for c, v in p.items()}  # of equal sets the first
-    order = np.lexsort((p["line"], p["doc"], p["k"]))
+    order = order[runs(p["k"][order], p["s"][order])[0]]  # of equal sets the first
+    order = order[np.lexsort((p["line"][order], p["doc"][order], p["k"][order]))]
     p = {c: v[order] for c, v in p.items()}
     heads, size = runs(p["k"])
     hot = np.isin(p["k"], got["hot"]["k"])
-    hub = np.repeat(heads, size)
     live = (np.repeat(size, size) > 1) | hot
-    hub = hub[live]
+    hub, own = np.repeat(heads, size)[live], np.flatnonzero(live)
     bucket = int(table.column("b")[0].as_py()) << 32
-    add(
-        len(hub), kind=np.ones(len(hub)), k=p["k"][live].astype(np.int64) | bucket, doc_id=p["doc"][live], line_no=p["line"][live], s=p["s"][live].view(np.int64), n=p["n"][live],
-        i=p["i"][live], hub_doc=p["doc"][hub], hub_line=p["line"][hub], hub_n=p["n"][hub], hub_i=p["i"][hub], hot=hot[live],
-    )
+    add(LIVE, k=p["k"][own].astype(np.int64) | bucket, doc_id=p["doc"][own], line_no=p["line"][own], n=p["n"][own], i=p["i"][own], hub=hot[own] & (hub == own))
+    n, i, hub_n, hub_i = (p[c][x].astype(np.int64) for x in (own, hub) for c in ("n", "i"))
+    fits = (5 * np.minimum(n, hub_n) >= 4 * np.maximum(n, hub_n)) & (9 * (np.minimum(i, hub_i) + np.minimum(n - i, hub_n - hub_i)) >= 4 * (n + hub_n))
+    fits = (fits | (np.maximum(n, hub_n) == 65535)) & ((p["doc"][own] != p["doc"][hub]) | (p["line"][own] != p["line"][hub]))
+    star = (p["line"][own[fits]], p["doc"][own[fits]], p["line"][hub[fits]], p["doc"][hub[fits]])
+    order = np.lexsort(star)
+    line, doc, hub_line, hub_doc = (x[order] for x in star)
+    one, _ = runs(line, doc, hub_line, hub_doc)
+    add(STAR, doc_id=doc[one], line_no=line[one], hub_doc=hub_doc[one], hub_line=hub_line[one])
     out = {c: np.concatenate(v) for c, v in rows.items()}
-    narrow = {"kind", "line_no", "n", "i", "hub_line", "hub_n", "hub_i"}
-    return pa.table({c: pa.array(v == 1) if c == "hot" else pa.array(v.astype(np.int32) if c in narrow else v) for c, v in out.items()})
+    wide = {"k", "doc_id", "hub_doc"}
+    return pa.table({c: pa.array(v == 1) if c == "hub" else pa.array(v if c in wide else v.astype(np.int32)) for c, v in out.items()})
 
 
 def repeated_lines(docs: DataFrame, least_tokens: int = 1, tag: str = "lines") -> DataFrame:
@@ -296,12 +300,12 @@ def repeated_lines(docs: DataFrame, least_tokens: int = 1, tag: str = "lines") -
     deals = postings(docs, ranks, least_tokens, max(16, 2 * words // 5 // BUCKET + 1))
     found = materialize(deals.groupBy("b").applyInArrow(listed, FOUND), f"{tag}-found")
     at, hub = F.struct("doc_id", "line_no").alias("at"), F.struct(F.col("hub_doc").alias("doc_id"), F.col("hub_line").alias("line_no")).alias("hub")
-    same = found.where("kind = 0").select("doc_id", "line_no", hub)
-    post = found.where("kind > 0").select("k", at, "n", "i")
-    own = found.where("kind = 1").select("k", at, "n", "i", hub, "hub_n", "hub_i", "hot")
-    hubs = own.where("hot and at = hub").select(F.col("k").alias("hk"), "hub", "hub_n", "hub_i")
-    beyond = found.where("kind = 2").select("k", at, "n", "i").join(hubs, F.col("k") == F.col("hk")).select("at", "n", "i", "hub", "hub_n", "hub_i")
-    star = own.select("at", "n", "i", "hub", "hub_n", "hub_i").unionByName(beyond).where("at > hub").where(FITS).select("hub", "at").distinct()
+    same = found.where(F.col("kind") == SAME).select("doc_id", "line_no", hub)
+    post = found.where(F.col("kind").isin(LIVE, OVER)).select("k", at, "n", "i")
+    hubs = found.where((F.col("kind") == LIVE) & F.col("hub")).select(F.col("k").alias("hk"), at.alias("hub"), F.col("n").alias("hub_n"), F.col("i").alias("hub_i"))
+    beyond = found.where(F.col("kind") == OVER).select("k", at, "n", "i").join(hubs, F.col("k") == F.col("hk")).where("at <> hub").where(FITS)
+    star = found.where(F.col("kind") == STAR).select(hub, at).unionByName(beyond.select("hub", "at"))
+    star = star.select(F.least("hub", "at").alias("hub"), F.greatest("hub", "at").alias("at")).distinct()
     star = materialize(star, f"{tag}-star")
     settled = verified(star, docs, ranks, f"{tag}-star")
 
