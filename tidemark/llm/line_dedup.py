@@ -25,24 +25,37 @@ CODE_BITS, HASH_BITS = 54, 38
 FLUSH, BUCKET = 400_000, 400_000
 #: Sets that one deal puts under one key; any others meet the key's first set in a join, which adaptive execution splits.
 LOCAL = 8
+#: Members of a list that are compared in one task at most; longer lists go the same way as those beyond LOCAL.
+LONGEST = 512
+#: Pairs that are compared at once.
+PAIRS = 1 << 20
 #: Bits of the filter of lines to verify, at most.
 FILTER_BITS = 1 << 26
 #: What a bucket gets: sets, lines equal to an earlier one, postings, postings beyond LOCAL, and the keys of these.
 SECTIONS = {
     "sets": (("s1", "u8"), ("s2", "u8"), ("doc", "i8"), ("line", "i4")),
     "same": (("doc", "i8"), ("line", "i4"), ("hub_doc", "i8"), ("hub_line", "i4")),
-    "posts": (("k", "u4"), ("s", "u8"), ("doc", "i8"), ("line", "i4"), ("n", "u2"), ("i", "u2")),
-    "over": (("k", "u8"), ("s", "u8"), ("doc", "i8"), ("line", "i4"), ("n", "u2"), ("i", "u2")),
+    "posts": (("k", "u4"), ("s", "u4"), ("sig", "u8"), ("doc", "i8"), ("line", "i4"), ("n", "u2"), ("i", "u2")),
+    "over": (("k", "u8"), ("s", "u4"), ("sig", "u8"), ("doc", "i8"), ("line", "i4"), ("n", "u2"), ("i", "u2")),
     "hot": (("k", "u4"),),
 }
+#: Tokens of one set alone change a bit of its signature each, so that they are as many as the bits in which two signatures differ, at least.
 #: The length filter, and the positional one: for the first neighbours in common, at most i tokens before them are
 #: common, and so are what both have left after them; 9 common >= 4 (n + hub_n) must still be possible. Sizes stop at 65535.
 FITS = (
     "greatest(n, hub_n) = 65535 or 5 * least(n, hub_n) >= 4 * greatest(n, hub_n)"
-    " and 9 * (least(i, hub_i) + least(n - i, hub_n - hub_i)) >= 4 * (n + hub_n)"
+    " and 9 * (least(i, hub_i) + least(n - i, hub_n - hub_i)) >= 4 * (n + hub_n) and 9 * bit_count(sig ^ hub_sig) <= n + hub_n"
 )
 
 
+def fits(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
+    """FITS of pairs of postings; lines at one place are no pair."""
+    n, m, i, j = (x[c].astype(np.int64) for c in ("n", "i") for x in (a, b))
+    out = (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * (np.minimum(i, j) + np.minimum(n - i, m - j)) >= 4 * (n + m))
+    out &= 9 * np.bitwise_count(a["sig"] ^ b["sig"]).astype(np.int64) <= n + m
+    return (out | (np.maximum(n, m) == 65535)) & ((a["doc"] != b["doc"]) | (a["line"] != b["line"]))
+
+
 def whole_lines(docs: DataFrame) -> DataFrame:
     """(doc_id long, text) of the rows that have both."""
     return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -108,11 +121,12 @@ def prefix_keys(n: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return which[at], place[at], scrambled(codes[at] * np.uint64(0x9E3779B97F4A7C15) + codes[at + 1])
 
 
-def set_hashes(n: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each set."""
+def set_hashes(n: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set, and its signature: bit by bit, whether an odd number of its tokens fall on it."""
     first = np.cumsum(n) - n
     mixed = scrambled(codes)
-    return np.add.reduceat(mixed, first), np.add.reduceat(scrambled(mixed + np.uint64(1)), first)
+    sums = np.add.reduceat(mixed, first), np.add.reduceat(scrambled(mixed + np.uint64(1)), first)
+    return *sums, np.bitwise_xor.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), first)
 
 
 def packed(columns: dict[str, dict[str, np.ndarray]]) -> bytes:
@@ -173,7 +187,7 @@ def dealt(sets: dict[str, np.ndarray], posts: dict[str, np.ndarray], buckets: in
         long = long[np.lexsort((sets["line"][of[long]], sets["doc"][of[long]], key[long]))]
         beyond[long[np.arange(len(long)) - np.repeat(*runs(key[long])) >= LOCAL]] = True
     columns = {
-        "k": key, "s": sets["s1"][of], "doc": sets["doc"][of], "line": sets["line"][of], "n": np.minimum(sets["n"][of], 65535), "i": np.minimum(i, 65535),
+        "k": key, "s": sets["s1"][of] >> np.uint64(32), "sig": sets["sig"][of], "doc": sets["doc"][of], "line": sets["line"][of], "n": np.minimum(sets["n"][of], 65535), "i": np.minimum(i, 65535),
     }
     bucket = (key >> np.uint64(32)) % np.uint64(buckets)
     out["posts"] = bucket[~beyond], {c: v[~beyond] & np.uint64(0xFFFFFFFF) if c == "k" else v[~beyond] for c, v in columns.items()}
@@ -200,7 +214,7 @@ def postings(docs: DataFrame, ranks: np.ndarray, least_tokens: int, buckets: int
         sets, posts, held, count = [], [], 0, 0
 
         def flush():
-            whole = {c: np.concatenate([x[c] for x in sets]) for c in ("s1", "s2", "doc", "line", "n")}
+            whole = {c: np.concatenate([x[c] for x in sets]) for c in ("s1", "s2", "sig", "doc", "line", "n")}
             keyed = {c: np.concatenate([x[c] for x in posts]) for c in ("k", "i", "set")}
             for bucket, blob in dealt(whole, keyed, buckets):
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([blob], pa.binary())], names=["b", "blob"])
@@ -212,12 +226,12 @@ def postings(docs: DataFrame, ranks: np.ndarray, least_tokens: int, buckets: int
                 start, row, line_no = line_starts(data, edges)
                 doc = part.column(0).to_numpy()
                 for line, n, codes in coded_sets(hashes, np.diff(np.append(np.searchsorted(word, start), len(word))), shipped.value):
-                    s1, s2 = set_hashes(n, codes)
+                    s1, s2, sig = set_hashes(n, codes)
                     of, i, key = prefix_keys(n, codes)
                     keep = n >= least_tokens
                     at = np.cumsum(keep) - 1
                     some = keep[of]
-                    sets.append({"s1": s1[keep], "s2": s2[keep], "doc": doc[row[line[keep]]], "line": line_no[line[keep]], "n": n[keep]})
+                    sets.append({"s1": s1[keep], "s2": s2[keep], "sig": sig[keep], "doc": doc[row[line[keep]]], "line": line_no[line[keep]], "n": n[keep]})
                     posts.append({"k": key[some], "i": i[some], "set": at[of[some]] + count})
                     count += int(keep.sum())
                     held += int(some.sum()) + int(keep.sum())
@@ -230,26 +244,72 @@ def postings(docs: DataFrame, ranks: np.ndarray, least_tokens: int, buckets: int
     return docs.mapInArrow(run, "b long, blob binary")
 
 
-FOUND = "kind int, k long, doc_id long, line_no int, n int, i int, hub_doc long, hub_line int, hub boolean"
-#: Kinds of rows: lines equal to an earlier one; postings under keys of several sets; postings beyond LOCAL; pairs with the first set of a key.
-SAME, LIVE, OVER, STAR = range(4)
+FOUND = "kind int, k long, doc_id long, line_no int, n int, i int, sig long, hub_doc long, hub_line int, hub boolean, blob binary"
+#: Kinds of rows: lines equal to an earlier one; candidate pairs; postings of long lists; a bucket's other lists.
+SAME, PAIR, LONG, LISTS = range(4)
+LISTED = (("k", "u4"), ("sig", "u8"), ("doc", "i8"), ("line", "i4"), ("n", "u2"), ("i", "u2"))
+
+
+def runs_of(p: dict[str, np.ndarray], columns: tuple[str, ...]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """The postings by key and place, with (heads, sizes) of the lists."""
+    order = np.lexsort((p["line"], p["doc"], p["k"]))
+    p = {c: p[c][order] for c in columns}
+    return p, *runs(p["k"])
+
+
+def pairs_with_first(p: dict[str, np.ndarray], heads: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fit, hub): whether each posting may be similar to the first of its list, and where that is."""
+    hub = np.repeat(heads, size)
+    return fits(p, {c: v[hub] for c, v in p.items()}), hub
+
+
+def pairs_with_others(p: dict[str, np.ndarray], hub: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(later, earlier): pairs that may be similar of the postings ``which`` with earlier ones of their lists, but for the first."""
+    which = which[which > hub[which] + 1]
+    ends = np.cumsum(which - hub[which] - 1)
+    out = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
+    at = 0
+    while at < len(which):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        part = which[at:end]
+        count = part - hub[part] - 1
+        later = np.repeat(part, count)
+        earlier = np.arange(len(later)) - np.repeat(np.cumsum(count) - count, count) + hub[later] + 1
+        ok = fits({c: v[later] for c, v in p.items()}, {c: v[earlier] for c, v in p.items()})
+        out.append((later[ok], earlier[ok]))
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def distinct_pairs(p: dict[str, np.ndarray], later: np.ndarray, earlier: np.ndarray) -> dict[str, np.ndarray]:
+    columns = p["line"][later], p["doc"][later], p["line"][earlier], p["doc"][earlier]
+    order = np.lexsort(columns)
+    columns = [c[order] for c in columns]
+    one, _ = runs(*columns)
+    return dict(zip(("line_no", "doc_id", "hub_line", "hub_doc"), (c[one] for c in columns), strict=True))
 
 
 def listed(table: pa.Table) -> pa.Table:
-    """A bucket's rows of FOUND; ``hub`` marks the first posting of a key that has postings beyond LOCAL."""
+    """A bucket's rows of FOUND.
+
+    A posting that may be similar to the first of its list makes a pair with it; any other one makes pairs with
+    all earlier ones that it may be similar to. ``hub`` marks the first posting of a long list.
+    """
     got = unpacked(table.column("blob").to_pylist())
-    rows = {c: [] for c in ("kind", "k", "doc_id", "line_no", "n", "i", "hub_doc", "hub_line", "hub")}
+    rows = {c: [] for c in FOUND.replace(",", "").split()[::2]}
 
-    def add(kind: int, **columns) -> None:
-        size = len(columns["doc_id"])
+    def add(kind: int, size: int, **columns) -> None:
         for c, held in rows.items():
-            held.append(columns[c].astype(np.int64) if c in columns else np.full(size, kind if c == "kind" else 0))
+            if c == "blob":
+                held.append(np.full(size, None, dtype=object) if c not in columns else np.array([columns[c]], dtype=object))
+            else:
+                held.append(columns[c].astype(np.int64) if c in columns else np.full(size, kind if c == "kind" else 0))
 
     same, sets, over, posts = got["same"], got["sets"], got["over"], got["posts"]
     first, later = first_of_equals(sets["s1"], sets["s2"], sets["doc"], sets["line"])
-    add(SAME, doc_id=same["doc"], line_no=same["line"], hub_doc=same["hub_doc"], hub_line=same["hub_line"])
-    add(SAME, doc_id=sets["doc"][later], line_no=sets["line"][later], hub_doc=sets["doc"][first[later]], hub_line=sets["line"][first[later]])
-    add(OVER, k=over["k"], doc_id=over["doc"], line_no=over["line"], n=over["n"], i=over["i"])
+    add(SAME, len(same["doc"]), doc_id=same["doc"], line_no=same["line"], hub_doc=same["hub_doc"], hub_line=same["hub_line"])
+    add(SAME, int(later.sum()), doc_id=sets["doc"][later], line_no=sets["line"][later], hub_doc=sets["doc"][first[later]], hub_line=sets["line"][first[later]])
+    add(LONG, len(over["k"]), k=over["k"], doc_id=over["doc"], line_no=over["line"], n=over["n"], i=over["i"], sig=over["sig"].view(np.int64))
     order = np.argsort(posts["k"])
     key = posts["k"][order]
     alike = np.zeros(len(key), dtype=bool)
@@ -257,27 +317,52 @@ def listed(table: pa.Table) -> pa.Table:
     alike[:-1] |= alike[1:]
     order = order[alike | np.isin(key, got["hot"]["k"])]
     p = {c: v[order] for c, v in posts.items()}
-    order = np.lexsort((p["line"], p["doc"], p["s"], p["k"]))
-    order = order[runs(p["k"][order], p["s"][order])[0]]  # of equal sets the first
-    order = order[np.lexsort((p["line"][order], p["doc"][order], p["k"][order]))]
-    p = {c: v[order] for c, v in p.items()}
-    heads, size = runs(p["k"])
-    hot = np.isin(p["k"], got["hot"]["k"])
-    live = (np.repeat(size, size) > 1) | hot
-    hub, own = np.repeat(heads, size)[live], np.flatnonzero(live)
+    columns = ("k", "s", "sig", "n", "i")
+    order = np.lexsort((p["line"], p["doc"], *(p[c] for c in reversed(columns))))
+    order = order[runs(*(p[c][order] for c in columns))[0]]  # of equal sets the first
+    p, heads, size = runs_of({c: v[order] for c, v in p.items()}, tuple(c for c, _ in LISTED))
+    long = np.isin(p["k"], got["hot"]["k"]) | (np.repeat(size, size) > LONGEST)
     bucket = int(table.column("b")[0].as_py()) << 32
-    add(LIVE, k=p["k"][own].astype(np.int64) | bucket, doc_id=p["doc"][own], line_no=p["line"][own], n=p["n"][own], i=p["i"][own], hub=hot[own] & (hub == own))
-    n, i, hub_n, hub_i = (p[c][x].astype(np.int64) for x in (own, hub) for c in ("n", "i"))
-    fits = (5 * np.minimum(n, hub_n) >= 4 * np.maximum(n, hub_n)) & (9 * (np.minimum(i, hub_i) + np.minimum(n - i, hub_n - hub_i)) >= 4 * (n + hub_n))
-    fits = (fits | (np.maximum(n, hub_n) == 65535)) & ((p["doc"][own] != p["doc"][hub]) | (p["line"][own] != p["line"][hub]))
-    star = (p["line"][own[fits]], p["doc"][own[fits]], p["line"][hub[fits]], p["doc"][hub[fits]])
-    order = np.lexsort(star)
-    line, doc, hub_line, hub_doc = (x[order] for x in star)
-    one, _ = runs(line, doc, hub_line, hub_doc)
-    add(STAR, doc_id=doc[one], line_no=line[one], hub_doc=hub_doc[one], hub_line=hub_line[one])
+    hub = np.repeat(heads, size)[long]
+    own = np.flatnonzero(long)
+    add(
+        LONG, len(own), k=p["k"][own].astype(np.int64) | bucket, doc_id=p["doc"][own], line_no=p["line"][own], n=p["n"][own], i=p["i"][own],
+        sig=p["sig"][own].view(np.int64), hub=hub == own,
+    )
+    some = ~long & (np.repeat(size, size) > 1)
+    p, heads, size = runs_of({c: v[some] for c, v in p.items()}, tuple(p))
+    fit, hub = pairs_with_first(p, heads, size)
+    later, earlier = pairs_with_others(p, hub, np.flatnonzero(~fit))
+    pairs = distinct_pairs(p, np.concatenate([np.flatnonzero(fit), later]), np.concatenate([hub[fit], earlier]))
+    add(PAIR, len(pairs["doc_id"]), **pairs)
+    # Only lists with a pair that may fail have to be seen again.
+    again = np.repeat(np.add.reduceat(fit & (np.arange(len(fit)) > hub + 1), heads) > 0, size) if len(heads) else np.zeros(0, dtype=bool)
+    raw = b"".join([np.int64(again.sum()).tobytes(), *(p[c][again].astype(kind).tobytes() for c, kind in LISTED)])
+    add(LISTS, 1, k=np.array([len(raw)]), blob=pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True))
     out = {c: np.concatenate(v) for c, v in rows.items()}
-    wide = {"k", "doc_id", "hub_doc"}
-    return pa.table({c: pa.array(v == 1) if c == "hub" else pa.array(v if c in wide else v.astype(np.int32)) for c, v in out.items()})
+    narrow = {"kind", "line_no", "n", "i", "hub_line"}
+    return pa.table({c: pa.array(v, pa.binary()) if c == "blob" else pa.array(v == 1) if c == "hub" else pa.array(v.astype(np.int32) if c in narrow else v) for c, v in out.items()})
+
+
+def seen_again(found: DataFrame, failed: DataFrame) -> DataFrame:
+    """(doc_id, line_no, hub_doc, hub_line): pairs of the lines ``failed`` with all earlier ones of their lists, from the buckets' lists."""
+    shipped = found.sparkSession.sparkContext.broadcast(place_filter(failed))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = shipped.value
+        for batch in batches:
+            for size, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = pa.Codec("zstd").decompress(blob.as_py(), size, asbytes=True)
+                count, at, p = int.from_bytes(raw[:8], "little"), 8, {}
+                for c, kind in LISTED:
+                    p[c] = np.frombuffer(raw, dtype=kind, count=count, offset=at)
+                    at += count * int(kind[1])
+                heads, sizes = runs(p["k"])
+                pairs = distinct_pairs(p, *pairs_with_others(p, np.repeat(heads, sizes), in_filter(p["doc"], p["line"], mask)))
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[c]) for c in ("doc_id", "line_no", "hub_doc", "hub_line")], names=["doc_id", "line_no", "hub_doc", "hub_line"])
+
+    lists = found.where(F.col("kind") == LISTS).select("k", "blob")
+    return lists.mapInArrow(run, "doc_id long, line_no int, hub_doc long, hub_line int")
 
 
 def repeated_lines(docs: DataFrame, least_tokens: int = 1, tag: str = "lines") -> DataFrame:
@@ -287,8 +372,8 @@ def repeated_lines(docs: DataFrame, least_tokens: int = 1, tag: str = "lines") -
     ``least_tokens`` distinct ones. A line goes if any earlier line, by doc_id and then place in the
     text, has Jaccard 0.8 or more with it, itself removed or not; the match is one such line. Equal
     sets collapse first. Others meet by the prefix filter (rarest tokens first, keyed by neighbouring
-    pairs), the length and positional filters, and an exact check. A list's sets are tried against its
-    first set; only those that fail are tried against its others.
+    pairs), the length, positional and signature filters, and an exact check. A list's sets are tried
+    against its first set; only those that can't be similar to it, or fail, are tried against its others.
 
     Null and empty texts, rows without an id, lines without a word and an empty table lose nothing.
     Rows that repeat a doc_id have one place, so identical ones don't remove each other. Other columns
@@ -301,24 +386,27 @@ def repeated_lines(docs: DataFrame, least_tokens: int = 1, tag: str = "lines") -
     found = materialize(deals.groupBy("b").applyInArrow(listed, FOUND), f"{tag}-found")
     at, hub = F.struct("doc_id", "line_no").alias("at"), F.struct(F.col("hub_doc").alias("doc_id"), F.col("hub_line").alias("line_no")).alias("hub")
     same = found.where(F.col("kind") == SAME).select("doc_id", "line_no", hub)
-    post = found.where(F.col("kind").isin(LIVE, OVER)).select("k", at, "n", "i")
-    hubs = found.where((F.col("kind") == LIVE) & F.col("hub")).select(F.col("k").alias("hk"), at.alias("hub"), F.col("n").alias("hub_n"), F.col("i").alias("hub_i"))
-    beyond = found.where(F.col("kind") == OVER).select("k", at, "n", "i").join(hubs, F.col("k") == F.col("hk")).where("at <> hub").where(FITS)
-    star = found.where(F.col("kind") == STAR).select(hub, at).unionByName(beyond.select("hub", "at"))
-    star = star.select(F.least("hub", "at").alias("hub"), F.greatest("hub", "at").alias("at")).distinct()
-    star = materialize(star, f"{tag}-star")
-    settled = verified(star, docs, ranks, f"{tag}-star")
-
-    left = post.join(settled.select(F.col("at").alias("done")).distinct(), F.col("at") == F.col("done"), "left_anti")
-    earlier = post.select(F.col("k").alias("hk"), F.col("at").alias("hub"), F.col("n").alias("hub_n"), F.col("i").alias("hub_i"))
-    more = left.join(earlier, F.col("k") == F.col("hk")).where("at > hub").where(FITS).select("hub", "at").distinct()
-    more = materialize(more.join(star, ["hub", "at"], "left_anti"), f"{tag}-more")
+    # Long lists meet their first posting in a join, which adaptive execution splits at hot keys.
+    long = found.where(F.col("kind") == LONG).select("k", at, "n", "i", "sig", F.col("hub").alias("first"))
+    other = long.select(F.col("k").alias("hk"), F.col("at").alias("hub"), F.col("n").alias("hub_n"), F.col("i").alias("hub_i"), F.col("sig").alias("hub_sig"), "first")
+    star = long.drop("first").join(other.where("first"), F.col("k") == F.col("hk")).where("at > hub").where(FITS).select("hub", "at")
+    pairs = found.where(F.col("kind") == PAIR).select(hub, at).unionByName(star).distinct()
+    pairs = materialize(pairs, f"{tag}-pairs")
+    settled = verified(pairs, docs, ranks, f"{tag}-pairs")
+
+    # Lines whose pairs with the first of a list have failed are tried against the others.
+    done = settled.select(F.col("at").alias("done")).distinct()
+    failed = materialize(pairs.select("at").distinct().join(done, F.col("at") == F.col("done"), "left_anti").select("at.*"), f"{tag}-failed")
+    left = long.join(done, F.col("at") == F.col("done"), "left_anti").drop("first")
+    more = left.join(other, F.col("k") == F.col("hk")).where("at > hub").where(FITS).select("hub", "at")
+    more = more.unionByName(seen_again(found, failed).select(hub, at)).distinct()
+    more = materialize(more.join(pairs, ["hub", "at"], "left_anti"), f"{tag}-more")
     good = verified(more, docs, ranks, f"{tag}-more")
     near = settled.unionByName(good).select("at.doc_id", "at.line_no", "hub")
     removed = same.unionByName(near).groupBy("doc_id", "line_no").agg(F.min("hub").alias("first"))
     removed = removed.select("doc_id", "line_no", F.col("first.doc_id").alias("match_doc_id"), F.col("first.line_no").alias("match_line_no"))
     out = materialize(removed, f"{tag}-removed")
-    forget(found, star, settled, more, good)
+    forget(found, pairs, settled, failed, more, good)
     return out
 
 
@@ -326,6 +414,12 @@ def place_slots(doc: np.ndarray, line: np.ndarray, bits: int) -> np.ndarray:
     return (scrambled(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64)) % np.uint64(bits)).astype(np.int64)
 
 
+def in_filter(doc: np.ndarray, line: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Where places may be among those of the filter."""
+    slot = place_slots(doc, line, len(mask) << 6)
+    return np.flatnonzero(mask[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1))
+
+
 def place_filter(places: DataFrame) -> np.ndarray:
     """A bit per slot that has a place (doc_id, line_no), at most FILTER_BITS; the driver gets no more than these."""
     bits = min(FILTER_BITS, 1 << max(12, (16 * places.count()).bit_length()))
@@ -360,8 +454,7 @@ def verified(pairs: DataFrame, docs: DataFrame, ranks: np.ndarray, tag: str) ->
                 count = pc.list_value_length(rows).to_numpy()
                 doc = np.repeat(part.column(0).to_numpy(), count)
                 no = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
-                slot = place_slots(doc, no, len(mask) << 6)
-                some = np.flatnonzero(mask[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1))
+                some = in_filter(doc, no, mask)
                 if not len(some):
                     continue
                 data, edges = text_bytes(pc.utf8_lower(rows.flatten().take(pa.array(some))))
