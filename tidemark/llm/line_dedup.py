@@ -18,15 +18,21 @@ from tidemark.llm.common import forget, materialize, small
 from tidemark.llm.words import byte_slices, hashed_words, scrambled, text_bytes
 
 #: Counters for token rarity; a fixed size, shared by tokens that collide.
-COUNTERS = 1 << 16
-#: Bits of a code: a counter's rank (16) and, below it, a part of the token's hash; lines in a block have the bits above.
-CODE_BITS, HASH_BITS = 54, 38
+COUNTERS = 1 << 20
+#: Bits of a code: a counter's rank (20) and, below it, a part of the token's hash; lines in a block have the bits above.
+CODE_BITS, HASH_BITS = 54, 34
 #: Postings that a task gathers before it deals them to buckets, and postings that a bucket is meant to hold.
 FLUSH, BUCKET = 400_000, 400_000
-#: Sets that one deal puts under one key; any others meet the key's first set in a join, which adaptive execution splits.
-LOCAL = 8
+#: Sets that one deal puts under one key, at most; any others meet the key's first set in a join, which adaptive execution splits.
+LOCAL = 64
 #: Members of a list that are compared in one task at most; longer lists go the same way as those beyond LOCAL.
-LONGEST = 512
+LONGEST = 8192
+#: First members of a longer list that its others are tried against before all of them.
+HUBS = 16
+#: Nearest earlier sets of its list that a set is tried against before all of them, by round.
+NEAREST = (1, 4)
+#: Sets of more tokens have a wide signature as well.
+WIDE = 96
 #: Pairs that are compared at once.
 PAIRS = 1 << 20
 #: Bits of the filter of lines to verify, at most.
@@ -36,6 +42,7 @@ SECTIONS = {
     "sets": (("s1", "u8"), ("s2", "u8"), ("doc", "i8"), ("line", "i4")),
     "same": (("doc", "i8"), ("line", "i4"), ("hub_doc", "i8"), ("hub_line", "i4")),
     "posts": (("k", "u4"), ("s", "u4"), ("sig", "u8"), ("doc", "i8"), ("line", "i4"), ("n", "u2"), ("i", "u2")),
+    "wide": (("w1", "u8"), ("w2", "u8")),  # of the postings of sets over WIDE, in their order
     "over": (("k", "u8"), ("s", "u4"), ("sig", "u8"), ("doc", "i8"), ("line", "i4"), ("n", "u2"), ("i", "u2")),
     "hot": (("k", "u4"),),
 }
@@ -53,6 +60,8 @@ def fits(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
     n, m, i, j = (x[c].astype(np.int64) for c in ("n", "i") for x in (a, b))
     out = (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * (np.minimum(i, j) + np.minimum(n - i, m - j)) >= 4 * (n + m))
     out &= 9 * np.bitwise_count(a["sig"] ^ b["sig"]).astype(np.int64) <= n + m
+    wide = np.bitwise_count(a["w1"] ^ b["w1"]).astype(np.int64) + np.bitwise_count(a["w2"] ^ b["w2"])
+    out &= (9 * wide <= n + m) | (np.minimum(n, m) <= WIDE)
     return (out | (np.maximum(n, m) == 65535)) & ((a["doc"] != b["doc"]) | (a["line"] != b["line"]))
 
 
@@ -121,12 +130,17 @@ def prefix_keys(n: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return which[at], place[at], scrambled(codes[at] * np.uint64(0x9E3779B97F4A7C15) + codes[at + 1])
 
 
-def set_hashes(n: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each set, and its signature: bit by bit, whether an odd number of its tokens fall on it."""
+def set_hashes(n: np.ndarray, codes: np.ndarray) -> dict[str, np.ndarray]:
+    """Two 64-bit hashes of each set, and its signatures of 64 and 128 bits: bit by bit, whether an odd number of its tokens fall on it."""
     first = np.cumsum(n) - n
     mixed = scrambled(codes)
-    sums = np.add.reduceat(mixed, first), np.add.reduceat(scrambled(mixed + np.uint64(1)), first)
-    return *sums, np.bitwise_xor.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), first)
+    bit = np.uint64(1) << ((mixed >> np.uint64(51)) & np.uint64(63))
+    high = (mixed >> np.uint64(57)) & np.uint64(1)
+    return {
+        "s1": np.add.reduceat(mixed, first), "s2": np.add.reduceat(scrambled(mixed + np.uint64(1)), first),
+        "sig": np.bitwise_xor.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), first),
+        "w1": np.bitwise_xor.reduceat(bit * high, first), "w2": np.bitwise_xor.reduceat(bit * (np.uint64(1) - high), first),
+    }
 
 
 def packed(columns: dict[str, dict[str, np.ndarray]]) -> bytes:
@@ -167,7 +181,7 @@ def first_of_equals(s1: np.ndarray, s2: np.ndarray, doc: np.ndarray, line: np.nd
     return first, (doc > doc[first]) | (doc == doc[first]) & (line > line[first])
 
 
-def dealt(sets: dict[str, np.ndarray], posts: dict[str, np.ndarray], buckets: int) -> Iterator[tuple[int, bytes]]:
+def dealt(sets: dict[str, np.ndarray], posts: dict[str, np.ndarray], buckets: int, local: int) -> Iterator[tuple[int, bytes]]:
     """(bucket, blob): sets by their hash, postings (k, i, set) by their key; sets equal to an earlier one here give none."""
     first, later = first_of_equals(sets["s1"], sets["s2"], sets["doc"], sets["line"])
     own = first == np.arange(len(first))
@@ -181,16 +195,18 @@ def dealt(sets: dict[str, np.ndarray], posts: dict[str, np.ndarray], buckets: in
     # The place of each posting in its key's list, by place of the line; only long lists need it.
     order = np.argsort(key)
     _, size = runs(key[order])
-    long = order[np.repeat(size > LOCAL, size)]
+    long = order[np.repeat(size > local, size)]
     beyond = np.zeros(len(key), dtype=bool)
     if len(long):
         long = long[np.lexsort((sets["line"][of[long]], sets["doc"][of[long]], key[long]))]
-        beyond[long[np.arange(len(long)) - np.repeat(*runs(key[long])) >= LOCAL]] = True
+        beyond[long[np.arange(len(long)) - np.repeat(*runs(key[long])) >= local]] = True
     columns = {
         "k": key, "s": sets["s1"][of] >> np.uint64(32), "sig": sets["sig"][of], "doc": sets["doc"][of], "line": sets["line"][of], "n": np.minimum(sets["n"][of], 65535), "i": np.minimum(i, 65535),
     }
     bucket = (key >> np.uint64(32)) % np.uint64(buckets)
     out["posts"] = bucket[~beyond], {c: v[~beyond] & np.uint64(0xFFFFFFFF) if c == "k" else v[~beyond] for c, v in columns.items()}
+    large = ~beyond & (columns["n"] > WIDE)
+    out["wide"] = bucket[large], {c: sets[c][of[large]] for c in ("w1", "w2")}
     over = {c: v[beyond] for c, v in columns.items()}
     over["k"] = (bucket[beyond] << np.uint64(32)) | (over["k"] & np.uint64(0xFFFFFFFF))
     out["over"] = spread(over["doc"], over["line"]), over
@@ -209,14 +225,16 @@ def dealt(sets: dict[str, np.ndarray], posts: dict[str, np.ndarray], buckets: in
 def postings(docs: DataFrame, ranks: np.ndarray, least_tokens: int, buckets: int) -> DataFrame:
     """(b, blob): what each bucket gets, in one row for each bucket that a deal of FLUSH postings meets."""
     shipped = docs.sparkSession.sparkContext.broadcast(ranks)
+    # As many deals as buckets put something under a key, so that a list takes no more than a bucket is meant to hold.
+    local = max(1, min(LOCAL, BUCKET // buckets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, posts, held, count = [], [], 0, 0
 
         def flush():
-            whole = {c: np.concatenate([x[c] for x in sets]) for c in ("s1", "s2", "sig", "doc", "line", "n")}
+            whole = {c: np.concatenate([x[c] for x in sets]) for c in sets[0]}
             keyed = {c: np.concatenate([x[c] for x in posts]) for c in ("k", "i", "set")}
-            for bucket, blob in dealt(whole, keyed, buckets):
+            for bucket, blob in dealt(whole, keyed, buckets, local):
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([blob], pa.binary())], names=["b", "blob"])
 
         for batch in batches:
@@ -226,12 +244,12 @@ def postings(docs: DataFrame, ranks: np.ndarray, least_tokens: int, buckets: int
                 start, row, line_no = line_starts(data, edges)
                 doc = part.column(0).to_numpy()
                 for line, n, codes in coded_sets(hashes, np.diff(np.append(np.searchsorted(word, start), len(word))), shipped.value):
-                    s1, s2, sig = set_hashes(n, codes)
+                    hashed = set_hashes(n, codes)
                     of, i, key = prefix_keys(n, codes)
                     keep = n >= least_tokens
                     at = np.cumsum(keep) - 1
                     some = keep[of]
-                    sets.append({"s1": s1[keep], "s2": s2[keep], "sig": sig[keep], "doc": doc[row[line[keep]]], "line": line_no[line[keep]], "n": n[keep]})
+                    sets.append({c: v[keep] for c, v in hashed.items()} | {"doc": doc[row[line[keep]]], "line": line_no[line[keep]], "n": n[keep]})
                     posts.append({"k": key[some], "i": i[some], "set": at[of[some]] + count})
                     count += int(keep.sum())
                     held += int(some.sum()) + int(keep.sum())
@@ -247,7 +265,7 @@ def postings(docs: DataFrame, ranks: np.ndarray, least_tokens: int, buckets: int
 FOUND = "kind int, k long, doc_id long, line_no int, n int, i int, sig long, hub_doc long, hub_line int, hub boolean, blob binary"
 #: Kinds of rows: lines equal to an earlier one; candidate pairs; postings of long lists; a bucket's other lists.
 SAME, PAIR, LONG, LISTS = range(4)
-LISTED = (("k", "u4"), ("sig", "u8"), ("doc", "i8"), ("line", "i4"), ("n", "u2"), ("i", "u2"))
+LISTED = (("k", "u4"), ("sig", "u8"), ("w1", "u8"), ("w2", "u8"), ("doc", "i8"), ("line", "i4"), ("n", "u2"), ("i", "u2"))
 
 
 def runs_of(p: dict[str, np.ndarray], columns: tuple[str, ...]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
@@ -263,8 +281,11 @@ def pairs_with_first(p: dict[str, np.ndarray], heads: np.ndarray, size: np.ndarr
     return fits(p, {c: v[hub] for c, v in p.items()}), hub
 
 
-def pairs_with_others(p: dict[str, np.ndarray], hub: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(later, earlier): pairs that may be similar of the postings ``which`` with earlier ones of their lists, but for the first."""
+def pairs_with_others(p: dict[str, np.ndarray], hub: np.ndarray, which: np.ndarray, nearest: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(later, earlier): pairs that may be similar of the postings ``which`` with earlier ones of their lists, but for the first.
+
+    ``nearest``: of each posting's pairs only so many, those whose signatures differ least.
+    """
     which = which[which > hub[which] + 1]
     ends = np.cumsum(which - hub[which] - 1)
     out = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
@@ -276,7 +297,12 @@ def pairs_with_others(p: dict[str, np.ndarray], hub: np.ndarray, which: np.ndarr
         later = np.repeat(part, count)
         earlier = np.arange(len(later)) - np.repeat(np.cumsum(count) - count, count) + hub[later] + 1
         ok = fits({c: v[later] for c, v in p.items()}, {c: v[earlier] for c, v in p.items()})
-        out.append((later[ok], earlier[ok]))
+        later, earlier = later[ok], earlier[ok]
+        if nearest is not None:
+            order = np.lexsort((earlier, np.bitwise_count(p["sig"][later] ^ p["sig"][earlier]), later))
+            order = order[np.arange(len(order)) - np.repeat(*runs(later[order])) < nearest]
+            later, earlier = later[order], earlier[order]
+        out.append((later, earlier))
         at = end
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
@@ -292,8 +318,8 @@ def distinct_pairs(p: dict[str, np.ndarray], later: np.ndarray, earlier: np.ndar
 def listed(table: pa.Table) -> pa.Table:
     """A bucket's rows of FOUND.
 
-    A posting that may be similar to the first of its list makes a pair with it; any other one makes pairs with
-    all earlier ones that it may be similar to. ``hub`` marks the first posting of a long list.
+    A posting that may be similar to the first of its list makes a pair with it; any other one with the nearest
+    ones among the earlier. ``hub`` marks the first postings of a long list.
     """
     got = unpacked(table.column("blob").to_pylist())
     rows = {c: [] for c in FOUND.replace(",", "").split()[::2]}
@@ -310,6 +336,10 @@ def listed(table: pa.Table) -> pa.Table:
     add(SAME, len(same["doc"]), doc_id=same["doc"], line_no=same["line"], hub_doc=same["hub_doc"], hub_line=same["hub_line"])
     add(SAME, int(later.sum()), doc_id=sets["doc"][later], line_no=sets["line"][later], hub_doc=sets["doc"][first[later]], hub_line=sets["line"][first[later]])
     add(LONG, len(over["k"]), k=over["k"], doc_id=over["doc"], line_no=over["line"], n=over["n"], i=over["i"], sig=over["sig"].view(np.int64))
+    large = posts["n"] > WIDE
+    for c, v in got["wide"].items():
+        posts[c] = np.zeros(len(large), dtype=np.uint64)
+        posts[c][large] = v
     order = np.argsort(posts["k"])
     key = posts["k"][order]
     alike = np.zeros(len(key), dtype=bool)
@@ -327,16 +357,15 @@ def listed(table: pa.Table) -> pa.Table:
     own = np.flatnonzero(long)
     add(
         LONG, len(own), k=p["k"][own].astype(np.int64) | bucket, doc_id=p["doc"][own], line_no=p["line"][own], n=p["n"][own], i=p["i"][own],
-        sig=p["sig"][own].view(np.int64), hub=hub == own,
+        sig=p["sig"][own].view(np.int64), hub=own - hub < HUBS,
     )
     some = ~long & (np.repeat(size, size) > 1)
     p, heads, size = runs_of({c: v[some] for c, v in p.items()}, tuple(p))
     fit, hub = pairs_with_first(p, heads, size)
-    later, earlier = pairs_with_others(p, hub, np.flatnonzero(~fit))
+    later, earlier = pairs_with_others(p, hub, np.flatnonzero(~fit), NEAREST[0])
     pairs = distinct_pairs(p, np.concatenate([np.flatnonzero(fit), later]), np.concatenate([hub[fit], earlier]))
     add(PAIR, len(pairs["doc_id"]), **pairs)
-    # Only lists with a pair that may fail have to be seen again.
-    again = np.repeat(np.add.reduceat(fit & (np.arange(len(fit)) > hub + 1), heads) > 0, size) if len(heads) else np.zeros(0, dtype=bool)
+    again = np.repeat(size > 2, size)
     raw = b"".join([np.int64(again.sum()).tobytes(), *(p[c][again].astype(kind).tobytes() for c, kind in LISTED)])
     add(LISTS, 1, k=np.array([len(raw)]), blob=pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True))
     out = {c: np.concatenate(v) for c, v in rows.items()}
@@ -344,8 +373,8 @@ def listed(table: pa.Table) -> pa.Table:
     return pa.table({c: pa.array(v, pa.binary()) if c == "blob" else pa.array(v == 1) if c == "hub" else pa.array(v.astype(np.int32) if c in narrow else v) for c, v in out.items()})
 
 
-def seen_again(found: DataFrame, failed: DataFrame) -> DataFrame:
-    """(doc_id, line_no, hub_doc, hub_line): pairs of the lines ``failed`` with all earlier ones of their lists, from the buckets' lists."""
+def seen_again(found: DataFrame, failed: DataFrame, nearest: int | None) -> DataFrame:
+    """(doc_id, line_no, hub_doc, hub_line): pairs of the lines ``failed`` with earlier ones of their lists, the ``nearest`` or all."""
     shipped = found.sparkSession.sparkContext.broadcast(place_filter(failed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,7 +387,7 @@ def seen_again(found: DataFrame, failed: DataFrame) -> DataFrame:
                     p[c] = np.frombuffer(raw, dtype=kind, count=count, offset=at)
                     at += count * int(kind[1])
                 heads, sizes = runs(p["k"])
-                pairs = distinct_pairs(p, *pairs_with_others(p, np.repeat(heads, sizes), in_filter(p["doc"], p["line"], mask)))
+                pairs = distinct_pairs(p, *pairs_with_others(p, np.repeat(heads, sizes), in_filter(p["doc"], p["line"], mask), nearest))
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[c]) for c in ("doc_id", "line_no", "hub_doc", "hub_line")], names=["doc_id", "line_no", "hub_doc", "hub_line"])
 
     lists = found.where(F.col("kind") == LISTS).select("k", "blob")
@@ -373,7 +402,8 @@ def repeated_lines(docs: DataFrame, least_tokens: int = 1, tag: str = "lines") -
     text, has Jaccard 0.8 or more with it, itself removed or not; the match is one such line. Equal
     sets collapse first. Others meet by the prefix filter (rarest tokens first, keyed by neighbouring
     pairs), the length, positional and signature filters, and an exact check. A list's sets are tried
-    against its first set; only those that can't be similar to it, or fail, are tried against its others.
+    against its first set; those that can't be similar to it, or fail, against the nearest others by
+    signature, and what still fails against all of them.
 
     Null and empty texts, rows without an id, lines without a word and an empty table lose nothing.
     Rows that repeat a doc_id have one place, so identical ones don't remove each other. Other columns
@@ -386,7 +416,7 @@ def repeated_lines(docs: DataFrame, least_tokens: int = 1, tag: str = "lines") -
     found = materialize(deals.groupBy("b").applyInArrow(listed, FOUND), f"{tag}-found")
     at, hub = F.struct("doc_id", "line_no").alias("at"), F.struct(F.col("hub_doc").alias("doc_id"), F.col("hub_line").alias("line_no")).alias("hub")
     same = found.where(F.col("kind") == SAME).select("doc_id", "line_no", hub)
-    # Long lists meet their first posting in a join, which adaptive execution splits at hot keys.
+    # Long lists meet their first postings in a join, which adaptive execution splits at hot keys.
     long = found.where(F.col("kind") == LONG).select("k", at, "n", "i", "sig", F.col("hub").alias("first"))
     other = long.select(F.col("k").alias("hk"), F.col("at").alias("hub"), F.col("n").alias("hub_n"), F.col("i").alias("hub_i"), F.col("sig").alias("hub_sig"), "first")
     star = long.drop("first").join(other.where("first"), F.col("k") == F.col("hk")).where("at > hub").where(FITS).select("hub", "at")
@@ -394,19 +424,24 @@ def repeated_lines(docs: DataFrame, least_tokens: int = 1, tag: str = "lines") -
     pairs = materialize(pairs, f"{tag}-pairs")
     settled = verified(pairs, docs, ranks, f"{tag}-pairs")
 
-    # Lines whose pairs with the first of a list have failed are tried against the others.
-    done = settled.select(F.col("at").alias("done")).distinct()
-    failed = materialize(pairs.select("at").distinct().join(done, F.col("at") == F.col("done"), "left_anti").select("at.*"), f"{tag}-failed")
-    left = long.join(done, F.col("at") == F.col("done"), "left_anti").drop("first")
-    more = left.join(other, F.col("k") == F.col("hk")).where("at > hub").where(FITS).select("hub", "at")
-    more = more.unionByName(seen_again(found, failed).select(hub, at)).distinct()
-    more = materialize(more.join(pairs, ["hub", "at"], "left_anti"), f"{tag}-more")
-    good = verified(more, docs, ranks, f"{tag}-more")
-    near = settled.unionByName(good).select("at.doc_id", "at.line_no", "hub")
+    # Lines whose pairs have failed are tried against others of their lists: first the nearest, then all.
+    tried, spent = pairs, []
+    for nearest in (*NEAREST[1:], None):
+        done = settled.select(F.col("at").alias("done")).distinct()
+        failed = materialize(tried.select("at").distinct().join(done, F.col("at") == F.col("done"), "left_anti").select("at.*"), f"{tag}-failed")
+        more = seen_again(found, failed, nearest).select(hub, at)
+        if nearest is None:
+            left = long.join(done, F.col("at") == F.col("done"), "left_anti").drop("first")
+            more = more.unionByName(left.join(other, F.col("k") == F.col("hk")).where("at > hub").where(FITS).select("hub", "at"))
+        more = materialize(more.distinct().join(tried, ["hub", "at"], "left_anti"), f"{tag}-more")
+        good = verified(more, docs, ranks, f"{tag}-more")
+        spent += [tried, failed, settled, more, good]
+        tried, settled = materialize(tried.unionByName(more), f"{tag}-tried"), materialize(settled.unionByName(good), f"{tag}-settled")
+    near = settled.select("at.doc_id", "at.line_no", "hub")
     removed = same.unionByName(near).groupBy("doc_id", "line_no").agg(F.min("hub").alias("first"))
     removed = removed.select("doc_id", "line_no", F.col("first.doc_id").alias("match_doc_id"), F.col("first.line_no").alias("match_line_no"))
     out = materialize(removed, f"{tag}-removed")
-    forget(found, pairs, settled, failed, more, good)
+    forget(found, tried, settled, *spent)
     return out
 
 
