@@ -64,10 +64,10 @@ def context_page(spark, sf_dir):
 
 
 @query(
-    f"""WITH {EV} SELECT event_id, create_time, user_id FROM e WHERE user_id < 40 AND (create_time < {UNTIL} OR (create_time = {UNTIL} AND event_id < 5000)) ORDER BY create_time DESC, event_id DESC LIMIT 100"""
+    f"""WITH {EV} SELECT event_id, create_time, user_id FROM e WHERE (create_time < {UNTIL} OR (create_time = {UNTIL} AND event_id < 5000)) ORDER BY create_time DESC, event_id DESC LIMIT 100"""
 )
 def context_next_page(spark, sf_dir):
-    rows = events(spark, sf_dir).where("user_id < 40").select("event_id", "create_time", "user_id")
+    rows = events(spark, sf_dir).select("event_id", "create_time", "user_id")
     return M.page(rows, 100, order(), before_key=(UNTIL, 5000)).drop("has_more")
 
 
@@ -106,15 +106,15 @@ def tail_per_session(spark, sf_dir):
 
 def two_shards(spark, sf_dir, changed: str):
     """Events in two overlapping shards; ``changed``: an expression of what the second shard's copy says."""
-    e = events(spark, sf_dir).select("event_id", "create_time", "event_type")
-    a = e.where("event_id % 3 <> 0").withColumn("shard", F.lit("a"))
-    b = e.where("event_id % 3 <> 1").withColumn("event_type", F.expr(changed)).withColumn("shard", F.lit("b"))
-    return a.unionByName(b)
+    e = events(spark, sf_dir).select("event_id", "create_time", "event_type", "value")
+    a = e.withColumn("shard", F.when(F.col("value") < 20, "c").otherwise("a"))
+    b = e.withColumn("event_type", F.expr(changed)).withColumn("shard", F.lit("b"))
+    return a.unionByName(b).drop("value")
 
 
 #: What the second shard says of some events.
-CHANGED = "CASE WHEN event_id % 50 = 2 THEN upper(event_type) ELSE event_type END"
-TWO = f"{EV}, u AS (SELECT event_id, create_time, event_type, 'a' AS shard FROM e WHERE event_id %% 3 <> 0 UNION ALL SELECT event_id, create_time, %s, 'b' FROM e WHERE event_id %% 3 <> 1)"
+CHANGED = "CASE WHEN value > 90 THEN upper(event_type) ELSE event_type END"
+TWO = f"{EV}, u AS (SELECT event_id, create_time, event_type, CASE WHEN value < 20 THEN 'c' ELSE 'a' END AS shard FROM e UNION ALL SELECT event_id, create_time, %s, 'b' FROM e)"
 
 
 @query(f"WITH {TWO % 'event_type'} SELECT event_id, create_time, event_type, min(shard) AS shard FROM u GROUP BY ALL")
@@ -158,16 +158,17 @@ def role_counts(spark, sf_dir):
 
 
 def people(spark, sf_dir):
-    c = t(spark, sf_dir, "customer").where("c_custkey % 3 <> 0")
-    return c.select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("username"), F.when(F.col("c_custkey") % 4 == 0, F.col("c_mktsegment")).otherwise("  ").alias("remark"), F.when(F.col("c_custkey") % 4 != 1, F.col("c_name")).alias("nick_name"), F.lit(0).alias("source_rank"))
+    c = t(spark, sf_dir, "customer")
+    first = F.when(F.col("c_acctbal") < 0, "x").otherwise("u")
+    return c.select(F.concat(first, F.col("c_custkey").cast("string")).alias("username"), F.when(F.col("c_custkey") % 4 == 0, F.col("c_mktsegment")).otherwise("  ").alias("remark"), F.when(F.col("c_custkey") % 4 != 1, F.col("c_name")).alias("nick_name"), F.lit(0).alias("source_rank"))
 
 
-PEOPLE = "p AS (SELECT 'u' || c_custkey AS username, CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment END AS remark, CASE WHEN c_custkey % 4 <> 1 THEN c_name END AS nick_name FROM customer WHERE c_custkey % 3 <> 0)"
-SESS = "s AS (SELECT 'u' || user_id AS username, CASE WHEN user_id % 6 = 0 THEN NULL ELSE max(CAST(epoch_us(ts) // 1000000 AS BIGINT)) END AS last_timestamp FROM events WHERE user_id % 11 <> 0 GROUP BY user_id)"
+PEOPLE = "p AS (SELECT CASE WHEN c_acctbal < 0 THEN 'x' ELSE 'u' END || c_custkey AS username, CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment END AS remark, CASE WHEN c_custkey % 4 <> 1 THEN c_name END AS nick_name FROM customer)"
+SESS = "s AS (SELECT 'u' || user_id AS username, CASE WHEN user_id % 6 = 0 THEN NULL ELSE max(CAST(epoch_us(ts) // 1000000 AS BIGINT)) END AS last_timestamp FROM events GROUP BY user_id)"
 
 
 def known_sessions(spark, sf_dir):
-    e = events(spark, sf_dir).where("user_id % 11 <> 0").groupBy("user_id").agg(F.max("create_time").alias("m"))
+    e = events(spark, sf_dir).groupBy("user_id").agg(F.max("create_time").alias("m"))
     return D.sessions(e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("username"), F.when(F.col("user_id") % 6 != 0, F.col("m")).alias("last_timestamp"), F.lit(0).alias("source_rank")))
 
 
@@ -209,9 +210,10 @@ def group_members(spark, sf_dir):
     return D.members_by_room(D.group_members(*rooms(spark, sf_dir))).withColumn("members", F.array_join("members", ","))
 
 
-@query("SELECT c_nationkey, CASE WHEN count(DISTINCT c_mktsegment) = 1 THEN min(c_mktsegment) END AS c_mktsegment, CASE WHEN count(DISTINCT c_mktsegment) > 1 THEN 'group_member_label_conflict' END AS label_gap FROM customer WHERE c_custkey < 60 GROUP BY c_nationkey")
+@query("SELECT c_nationkey, CAST(floor(c_acctbal / 100) AS BIGINT) AS room, CASE WHEN count(DISTINCT c_mktsegment) = 1 THEN min(c_mktsegment) END AS c_mktsegment, CASE WHEN count(DISTINCT c_mktsegment) > 1 THEN 'group_member_label_conflict' END AS label_gap FROM customer GROUP BY ALL")
 def label_agreement(spark, sf_dir):
-    return D.agreed_labels(t(spark, sf_dir, "customer").where("c_custkey < 60"), ["c_nationkey"], ["c_mktsegment"])
+    rooms = t(spark, sf_dir, "customer").withColumn("room", F.floor(F.col("c_acctbal") / 100).cast("bigint"))
+    return D.agreed_labels(rooms, ["c_nationkey", "room"], ["c_mktsegment"])
 
 
 def replies(spark, sf_dir):
@@ -235,19 +237,21 @@ def quote_missing(spark, sf_dir):
 
 
 @query(
-    """WITH l AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey < 3000), r AS (SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey % 2 = 0),
-    a AS (SELECT o_orderkey, o_custkey, c_custkey, c_nationkey FROM l JOIN r ON o_custkey = c_custkey)
+    """WITH l AS (SELECT o_orderkey, o_custkey FROM orders), r AS (SELECT c_custkey, c_nationkey, CASE WHEN c_acctbal >= 4000 THEN c_custkey END AS first_key FROM customer),
+    a AS (SELECT o_orderkey, o_custkey, c_custkey, c_nationkey FROM l JOIN r ON o_custkey = first_key)
     SELECT * FROM a UNION ALL SELECT l.o_orderkey, l.o_custkey, r.c_custkey, r.c_nationkey FROM l LEFT JOIN r ON r.c_custkey = l.o_custkey + 1 AND r.c_nationkey < 12 WHERE l.o_orderkey NOT IN (SELECT o_orderkey FROM a)"""
 )
 def fallback_key_join(spark, sf_dir):
-    left = t(spark, sf_dir, "orders").where("o_orderkey < 3000").select("o_orderkey", "o_custkey")
-    right = t(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select("c_custkey", "c_nationkey")
-    return M.prioritized_join(left, right, F.col("o_custkey") == F.col("c_custkey"), (F.col("c_custkey") == F.col("o_custkey") + 1) & (F.col("c_nationkey") < 12), "o_orderkey")
+    left = t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    right = t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.when(F.col("c_acctbal") >= 4000, F.col("c_custkey")).alias("first_key"))
+    out = M.prioritized_join(left, right, F.col("o_custkey") == F.col("first_key"), (F.col("c_custkey") == F.col("o_custkey") + 1) & (F.col("c_nationkey") < 12), "o_orderkey")
+    return out.drop("first_key")
 
 
-@query("SELECT conv_id, CASE WHEN count(DISTINCT length(role)) = 1 THEN min(length(role)) END AS own_sender FROM conversations WHERE turn IN (0, 3) GROUP BY conv_id")
+@query("SELECT conv_id, CASE WHEN count(DISTINCT length(text) // 300) = 1 THEN min(length(text) // 300) + 1 END AS own_sender FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
 def sender_calibration(spark, sf_dir):
-    rows = t(spark, sf_dir, "conversations").where("turn IN (0, 3)").select("conv_id", F.lit(2).alias("status"), F.lit(1).cast("bigint").alias("local_type"), F.length("role").cast("bigint").alias("real_sender_id"))
+    status, sender = F.when(F.col("role") == "assistant", 2).otherwise(4), F.floor(F.length("text") / 300).cast("bigint") + 1
+    rows = t(spark, sf_dir, "conversations").select("conv_id", status.alias("status"), F.lit(1).cast("bigint").alias("local_type"), sender.alias("real_sender_id"))
     return M.calibrated_senders(rows, ["conv_id"])
 
 
@@ -266,11 +270,13 @@ def watermark_state(spark, sf_dir):
 
 
 def old_and_new(spark, sf_dir):
-    d = t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
-    return d.where("doc_id < 600"), d.where("doc_id >= 300").withColumn("sha", F.when(F.col("doc_id") % 50 == 0, F.lit("changed")).otherwise(F.col("sha")))
+    d = t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), "n_chars")
+    renamed = F.when(F.col("n_chars") % 5 == 0, -1 - F.col("doc_id")).otherwise(F.col("doc_id"))
+    changed = F.when(F.col("n_chars") % 7 == 0, F.lit("changed")).otherwise(F.col("sha"))
+    return d.drop("n_chars"), d.select(renamed.alias("doc_id"), changed.alias("sha"))
 
 
-OLD_NEW = "o AS (SELECT doc_id, sha256(text) AS sha FROM documents WHERE doc_id < 600), n AS (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'changed' ELSE sha256(text) END AS sha FROM documents WHERE doc_id >= 300)"
+OLD_NEW = "o AS (SELECT doc_id, sha256(text) AS sha FROM documents), n AS (SELECT CASE WHEN n_chars % 5 = 0 THEN -1 - doc_id ELSE doc_id END AS doc_id, CASE WHEN n_chars % 7 = 0 THEN 'changed' ELSE sha256(text) END AS sha FROM documents)"
 
 
 @query(
@@ -399,26 +405,31 @@ def json_props(spark, sf_dir):
 
 
 @query(
-    """WITH d AS (SELECT doc_id, octet_length(encode(text)) AS size, sha256(text) AS h FROM documents WHERE doc_id % 17 <> 0), a AS (SELECT doc_id, octet_length(encode(text)) + CASE WHEN doc_id % 13 = 0 THEN 1 ELSE 0 END AS size, CASE WHEN doc_id % 19 = 0 THEN 'bad' ELSE sha256(text) END AS h FROM documents WHERE doc_id % 11 <> 0)
-    SELECT CAST(coalesce(d.doc_id, a.doc_id) AS VARCHAR) AS path, CASE WHEN a.doc_id IS NULL THEN 'missing' WHEN d.doc_id IS NULL THEN 'undeclared' WHEN d.size <> a.size THEN 'size_mismatch' WHEN d.h <> a.h THEN 'hash_mismatch' END AS error
+    """WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, octet_length(encode(text)) AS size, sha256(text) AS h FROM documents), a AS (SELECT CASE WHEN n_chars % 11 = 0 THEN 'moved/' ELSE '' END || doc_id AS doc_id, octet_length(encode(text)) + CASE WHEN n_chars % 13 = 0 THEN 1 ELSE 0 END AS size, CASE WHEN n_chars % 19 = 0 THEN 'bad' ELSE sha256(text) END AS h FROM documents)
+    SELECT coalesce(d.doc_id, a.doc_id) AS path, CASE WHEN a.doc_id IS NULL THEN 'missing' WHEN d.doc_id IS NULL THEN 'undeclared' WHEN d.size <> a.size THEN 'size_mismatch' WHEN d.h <> a.h THEN 'hash_mismatch' END AS error
     FROM d FULL JOIN a ON d.doc_id = a.doc_id WHERE a.doc_id IS NULL OR d.doc_id IS NULL OR d.size <> a.size OR d.h <> a.h"""
 )
 def verify_manifest(spark, sf_dir):
-    x = t(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), F.octet_length("text").alias("size"), F.sha2("text", 256).alias("sha256"))
-    declared = x.where("doc_id % 17 <> 0")
-    actual = x.where("doc_id % 11 <> 0").withColumns({"size": F.col("size") + F.when(F.col("doc_id") % 13 == 0, 1).otherwise(0), "sha256": F.when(F.col("doc_id") % 19 == 0, "bad").otherwise(F.col("sha256"))})
+    n = F.col("n_chars")
+    declared = t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.octet_length("text").alias("size"), F.sha2("text", 256).alias("sha256"), "n_chars")
+    path = F.when(n % 11 == 0, F.concat(F.lit("moved/"), "path")).otherwise(F.col("path"))
+    actual = declared.select(path.alias("path"), (F.col("size") + F.when(n % 13 == 0, 1).otherwise(0)).alias("size"), F.when(n % 19 == 0, "bad").otherwise(F.col("sha256")).alias("sha256"))
     return A.verify(declared, actual)
 
 
 @query(
-    """WITH base AS (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders WHERE o_orderkey < 2000), lg AS (SELECT event_id AS seq, event_id % 2500 AS k, event_type AS v, event_id % 100 = 0 AS c, event_id % 9 = 0 AS deleted FROM events WHERE event_id <> 7777),
+    """WITH base AS (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders), top AS (SELECT max(event_id) AS m FROM events),
+    lg AS (SELECT event_id + CASE WHEN event_id > m * 3 // 4 THEN 1 ELSE 0 END AS seq, event_id // 2 * 3 AS k, event_type AS v, event_id % 100 = 0 AS c, event_id % 9 = 0 AS deleted FROM events, top),
     b AS (SELECT max(seq) AS upto FROM lg WHERE c AND seq < (SELECT coalesce(min(seq), 1000000000000) FROM lg l WHERE seq > (SELECT min(seq) FROM lg) AND NOT EXISTS (SELECT 1 FROM lg p WHERE p.seq = l.seq - 1))),
     w AS (SELECT k, arg_max(v, seq) AS v, arg_max(deleted, seq) AS gone FROM lg, b WHERE seq <= upto GROUP BY k)
     SELECT k, v FROM base WHERE k NOT IN (SELECT k FROM w) UNION ALL SELECT k, v FROM w WHERE NOT gone"""
 )
 def overlay_log(spark, sf_dir):
-    base = t(spark, sf_dir, "orders").where("o_orderkey < 2000").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v"))
-    log = t(spark, sf_dir, "events").where("event_id <> 7777").select(F.col("event_id").alias("seq"), (F.col("event_id") % 2500).alias("k"), F.col("event_type").alias("v"), (F.col("event_id") % 100 == 0).alias("commit"), (F.col("event_id") % 9 == 0).alias("deleted"))
+    base = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v"))
+    e = t(spark, sf_dir, "events")
+    e = e.crossJoin(F.broadcast(e.agg(F.max("event_id").alias("m"))))  # one row; the log has a gap after three quarters
+    seq = F.col("event_id") + F.when(F.col("event_id") > F.expr("m * 3 div 4"), 1).otherwise(0)
+    log = e.select(seq.alias("seq"), (F.expr("event_id div 2") * 3).alias("k"), F.col("event_type").alias("v"), (F.col("event_id") % 100 == 0).alias("commit"), (F.col("event_id") % 9 == 0).alias("deleted"))
     return store.committed_overlay(base, log, "k")
 
 
@@ -474,9 +485,9 @@ def rendered_conversations(spark, sf_dir):
     return c.groupBy("conv_id").agg(F.sha2(F.array_join(ordered, "\n\n"), 256).alias("page_sha"))
 
 
-@query("WITH b AS (SELECT text, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k, event_id, event_type FROM (SELECT event_type AS text, * FROM events WHERE user_id < 20)) SELECT event_id FROM b WHERE k > 2")
+@query("WITH b AS (SELECT text, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k, event_id, event_type FROM (SELECT event_type AS text, * FROM events)) SELECT event_id FROM b WHERE k > 2")
 def own_bubbles(spark, sf_dir):
-    e = t(spark, sf_dir, "events").where("user_id < 20").select("event_id", F.col("event_type").alias("text"), F.lit("self").alias("sender_role"))
+    e = t(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("text"), F.lit("self").alias("sender_role"))
     sent = e.select("text").distinct().select(F.explode(F.array(F.lit(1), F.lit(2))).alias("event_id"), "text")
     return W.without_own_bubbles(e, sent, "text", "event_id").select("event_id")
 
