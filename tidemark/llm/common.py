@@ -122,16 +122,13 @@ def rank_within(df: DataFrame, group: str, tie: list[str], rows_per_bucket: int
     )
 
 
-def restricted(df: DataFrame, ids: DataFrame, on: str, how: str = "left_semi", most_rows: int = 1_000_000) -> DataFrame:
-    """``df`` restricted to (left_semi) or without (left_anti) the ids in ``ids``.
+def restricted(df: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """``df`` restricted to (left_semi) or without (left_anti) the ids in ``ids``, a materialized table of numbers.
 
-    ``ids`` should be materialized: it is counted, and broadcast only up to ``most_rows`` rows;
-    beyond them both sides are shuffled, which adaptive execution splits at hot keys.
+    They are broadcast only if they are small; else both sides are shuffled, which adaptive execution splits at hot keys.
     """
-    right = ids.select(F.col(ids.columns[0]).alias("_on"))
-    if right.count() <= most_rows:
-        right = F.broadcast(right)
-    return df.join(right, df[on] == F.col("_on"), how)
+    right = small(ids.select(F.col(ids.columns[0]).alias("_on")), "32")
+    return df.join(right, df[on] == right["_on"], how)
 
 
 def small(df: DataFrame, row_bytes: str, most_bytes: int = 32 << 20) -> DataFrame:

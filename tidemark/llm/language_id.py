@@ -97,8 +97,9 @@ def train(docs: DataFrame, learn: Column, rows_per_language: int = 400, dims: in
             vectors = [ngram_frequencies(prepared(t.as_py()), orders, dims).tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(vectors, pa.binary())], names=["lang", "at", "x"])
 
-    rows = labelled.where(keep).select("lang", sample_order().alias("at"), "text").mapInArrow(features, "lang string, at long, x binary")
-    found = sorted(rows.limit(3 * rows_per_language * len(counts)).toArrow().to_pylist(), key=lambda r: (r["lang"], r["at"], r["x"]))
+    one = labelled.where(keep).groupBy("lang", sample_order().alias("at")).agg(F.min("text").alias("text"))  # a row per id
+    rows = one.mapInArrow(features, "lang string, at long, x binary")
+    found = sorted(rows.toArrow().to_pylist(), key=lambda r: (r["lang"], r["at"], r["x"]))
     taken, seen = [], dict.fromkeys(counts, 0)
     for r in found:
         if seen[r["lang"]] < rows_per_language:

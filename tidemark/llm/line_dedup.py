@@ -22,7 +22,7 @@ COUNTERS = 1 << 20
 #: Bits of a code: a counter's rank (20) and, below it, a part of the token's hash; lines in a block have the bits above.
 CODE_BITS, HASH_BITS = 54, 34
 #: Postings that a task gathers before it deals them to buckets, and postings that a bucket is meant to hold.
-FLUSH, BUCKET = 400_000, 400_000
+FLUSH, BUCKET = 200_000, 200_000
 #: Sets that one deal puts under one key, at most; any others meet the key's first set in a join, which adaptive execution splits.
 LOCAL = 64
 #: Members of a list that are compared in one task at most; longer lists go the same way as those beyond LOCAL.
@@ -34,7 +34,7 @@ NEAREST = (1, 4)
 #: Sets of more tokens have a wide signature as well.
 WIDE = 96
 #: Pairs that are compared at once.
-PAIRS = 1 << 20
+PAIRS = 1 << 17
 #: Bits of the filter of lines to verify, at most.
 FILTER_BITS = 1 << 26
 #: What a bucket gets: sets, lines equal to an earlier one, postings, postings beyond LOCAL, and the keys of these.
@@ -299,7 +299,8 @@ def pairs_with_others(p: dict[str, np.ndarray], hub: np.ndarray, which: np.ndarr
         ok = fits({c: v[later] for c, v in p.items()}, {c: v[earlier] for c, v in p.items()})
         later, earlier = later[ok], earlier[ok]
         if nearest is not None:
-            order = np.lexsort((earlier, np.bitwise_count(p["sig"][later] ^ p["sig"][earlier]), later))
+            differ = sum(np.bitwise_count(p[c][later] ^ p[c][earlier]).astype(np.int64) for c in ("sig", "w1", "w2"))
+            order = np.lexsort((earlier, differ, later))
             order = order[np.arange(len(order)) - np.repeat(*runs(later[order])) < nearest]
             later, earlier = later[order], earlier[order]
         out.append((later, earlier))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 
 #: Bytes that are worked on at once; longer texts go through in overlapping stretches.
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 
 
 def byte_ngrams(raw: np.ndarray, order: int, dims: int) -> np.ndarray:

@@ -117,9 +117,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "q
             x = [indicators(t.as_py(), seen).tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], names=["doc_id", "y", "x"])
 
-    rows = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "_y", "text").mapInArrow(codes, "doc_id long, y int, x binary")
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).groupBy("doc_id", "_y").agg(F.min("text").alias("text"))
+    rows = texts.mapInArrow(codes, "doc_id long, y int, x binary")
     first: dict = {}
-    for r in rows.limit(4 * rows_per_class).toArrow().to_pylist():
+    for r in rows.toArrow().to_pylist():  # at most 2 rows_per_class
         first[r["doc_id"]] = min(first.get(r["doc_id"], (r["y"], r["x"])), (r["y"], r["x"]))
     ordered = [first[k] for k in sorted(first)]
     return QualityModel([np.frombuffer(x, dtype=np.int32) for _, x in ordered], np.array([y for y, _ in ordered], dtype=np.int64))

@@ -298,7 +298,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
     """
     known = labels.where(learn & F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max(label_col) > 0).cast("int").alias("_y"))
     sample = known.orderBy(sample_order(), "doc_id").limit(examples).select(F.col("doc_id").alias("_id"), "_y")
-    labelled = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "_y", "text")
+    # One text of each id: the last in order.
+    labelled = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).groupBy("doc_id", "_y").agg(F.max("text").alias("text"))
+    labelled = materialize(labelled, "toxic-examples")
 
     def example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, up, rows, toxic = Counter(), Counter(), 0, 0
@@ -348,7 +350,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
             )
 
     kept = {}
-    for batch in labelled.mapInArrow(vectors, "doc_id long, y int, term array<int>, tf array<int>").limit(2 * examples).toArrow().to_batches():
+    for batch in labelled.mapInArrow(vectors, "doc_id long, y int, term array<int>, tf array<int>").toArrow().to_batches():
         for i, y, term, tf in zip(*batch.columns, strict=True):
             new = y.as_py(), (term.values.to_numpy(), tf.values.to_numpy())
             if i.as_py() in kept:
