@@ -10,7 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,25 +71,34 @@ class Vocabulary:
             self.boost = np.ones(self.size)
             self.boost[pc.index_in(pa.array(list(self.strong), pa.string()), self.terms).to_numpy()] = list(self.strong.values())
             return self.boost
-        if name not in ("at", "marks", "rows", "table"):
+        if name not in ("keys", "places", "marks", "rows", "table"):
             raise AttributeError(name)
-        self.at = {t: k for k, t in enumerate(self.terms.to_pylist())}
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(t.as_py()) for t in self.terms), dtype=np.uint64, count=self.size)
+        self.places = np.argsort(hashes, kind="stable").astype(np.int32)
+        self.keys = hashes[self.places]
         #: By head: the terms that mark its recurrence.
         self.marks = np.full((self.size, len(COUNTS) + len(SHARES)), -1, dtype=np.int32)
         ends = {str(x): j for j, x in enumerate((*COUNTS, *SHARES))}
-        for t, k in self.at.items():
-            head, star, end = t.partition("*")
-            if star and end:
-                self.marks[self.at[f"{head}*"], ends[end]] = k
+        for k in np.flatnonzero(pc.match_substring_regex(self.terms, r"\*.").to_numpy(zero_copy_only=False)).tolist():
+            head, _, end = self.terms[k].as_py().partition("*")
+            self.marks[self.find([f"{head}*"])[0], ends[end]] = k
         self.rows, self.table = {}, np.full((1024, 1 + len(BEGINNINGS)), -1, dtype=np.int32)
         return self.__dict__[name]
 
-    def row(self, word: str) -> int:
-        if len(self.rows) == len(self.table):
+    def find(self, terms: list[str]) -> np.ndarray:
+        """The places of terms in the vocabulary, -1 for those that it doesn't have."""
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, terms), dtype=np.uint64, count=len(terms))
+        at = np.minimum(np.searchsorted(self.keys, hashes), self.size - 1)
+        return np.where(self.keys[at] == hashes, self.places[at], -1).astype(np.int32)
+
+    def learn(self, new: list[str]) -> None:
+        """Rows for words that have none yet."""
+        first = len(self.rows)
+        while first + len(new) > len(self.table):
             self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
-        k = self.rows[word] = len(self.rows)
-        self.table[k] = [self.at.get(word, -1), *(self.at.get(word[:n] + "*", -1) if len(word) > n else -1 for n in BEGINNINGS)]
-        return k
+        terms = [t for w in new for t in (w, *(w[:n] + "*" if len(w) > n else "" for n in BEGINNINGS))]
+        self.table[first : first + len(new)] = self.find(terms).reshape(len(new), -1)
+        self.rows.update(zip(new, range(first, first + len(new)), strict=True))
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Terms and their counts, as ``term_counts`` has them, of terms in the vocabulary."""
@@ -98,7 +108,10 @@ class Vocabulary:
         found, rows = Counter(own), self.rows
         if len(rows) + len(found) > 500_000:
             rows.clear()
-        at = [rows[w] if w in rows else self.row(w) for w in found]
+        new = [w for w in found if w not in rows]
+        if new:
+            self.learn(new)
+        at = [rows[w] for w in found]
         ids = self.table[at].ravel()
         term, inverse = np.unique(ids, return_inverse=True)
         tf = np.bincount(inverse, weights=np.repeat(list(found.values()), 1 + len(BEGINNINGS)))
@@ -160,21 +173,24 @@ class ExampleIndex:
     def __init__(self, start: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int):
         """Example i has the terms and weights from start[i] to start[i + 1]."""
         self.n, self.start, self.term, self.weight = len(start) - 1, start, term, weight
-        doc = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.start))
         df = np.bincount(self.term, minlength=terms)
         often = np.argsort(-df, kind="stable")[: self.MOST_DENSE]
         often = often[df[often] >= max(1, self.FREQUENT * self.n)]
-        self.column = np.full(terms, -1, dtype=np.int32)
+        self.column = np.full(terms, -1, dtype=np.int16)
         self.column[often] = np.arange(len(often))
-        column = self.column[self.term]
-        dense = column >= 0
         self.dense = np.zeros((len(often), self.n), dtype=np.float32)
-        self.dense[column[dense], doc[dense]] = self.weight[dense]
-        rare = np.flatnonzero(~dense)
-        del column, dense
-        rare = rare[np.argsort(self.term[rare], kind="stable")]
-        self.post_doc, self.post_weight = doc[rare].astype(np.int64), self.weight[rare]
-        self.post_start = np.concatenate([[0], np.cumsum(np.bincount(self.term[rare], minlength=terms))])
+        self.post_start = np.concatenate([[0], np.cumsum(np.where(self.column < 0, df, 0))])
+        self.post_doc = np.empty(self.post_start[-1], dtype=np.int32)
+        self.post_weight = np.empty(self.post_start[-1], dtype=np.float32)
+        free = self.post_start[:-1].copy()
+        for i, (s, e) in enumerate(zip(start[:-1].tolist(), start[1:].tolist(), strict=True)):
+            own, w = term[s:e], weight[s:e]
+            column = self.column[own]
+            dense = column >= 0
+            self.dense[column[dense], i] = w[dense]
+            own = own[~dense]  # the terms of one example are distinct
+            self.post_doc[free[own]], self.post_weight[free[own]] = i, w[~dense]
+            free[own] += 1
         self.query = np.zeros(terms)
 
     def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
@@ -188,11 +204,10 @@ class ExampleIndex:
         rough, out = q @ self.dense, []
         for r, (term, weight) in enumerate(queries):
             some = self.column[term] < 0
-            lists = [slice(*x) for x in zip(self.post_start[term[some]].tolist(), self.post_start[term[some] + 1].tolist(), strict=True)]
-            scores = rough[r]
-            if lists:
-                w = np.concatenate([x * self.post_weight[i] for x, i in zip(weight[some].tolist(), lists, strict=True)])
-                scores = scores + np.bincount(np.concatenate([self.post_doc[i] for i in lists]), weights=w, minlength=self.n)
+            rare = term[some]
+            at = ranges(self.post_start, rare)
+            w = np.repeat(weight[some].astype(np.float32), self.post_start[rare + 1] - self.post_start[rare]) * self.post_weight[at]
+            scores = rough[r] + np.bincount(self.post_doc[at], weights=w, minlength=self.n)
             if without is not None:
                 scores[without[r]] = 0
             least = np.partition(scores, self.n - k)[self.n - k] if self.n > k else 0
@@ -236,28 +251,53 @@ class ToxicityModel:
         size, examples, some = len(some), None, None  # their arrays are not needed any more
         self.a, self.b = 1.0, 0.0
         self.memo: dict = {}
-        at = list(range(0, size, max(1, size // calibrated)))
-        if at:
-            raw = []
-            for i in range(0, len(at), BLOCK):
-                part = at[i : i + BLOCK]
-                raw += [self.vote(near) for near in self.index.nearest([self.vector(self.term[s:e], self.tf[s:e]) for s, e in zip(self.start[part], self.start[np.add(part, 1)], strict=True)], k, without=part)]
-            raw = np.array(raw)
-            del self.index
-            if 0 < self.labels[at].sum() < len(at):
-                self.a, self.b = fit_sigmoid(np.log(raw / (1 - raw)), self.labels[at])
-                if self.a <= 0:  # calibration never turns the order of the votes around
-                    self.a, self.b = 1.0, 0.0
+        self.shipped = None
+        #: The examples by which the sigmoid is fitted, ``calibrated`` to twice as many.
+        self.fitted_on = np.arange(0, size, max(1, size // calibrated))
+
+    def votes_without(self, part: list[int]) -> list[float]:
+        """The votes of examples, each without itself."""
+        queries = [self.vector(self.term[s:e], self.tf[s:e]) for s, e in zip(self.start[part], self.start[np.add(part, 1)], strict=True)]
+        return [self.vote(near) for near in self.index.nearest(queries, self.k, without=part)]
+
+    def broadcast(self, spark: SparkSession):
+        """The model without its sigmoid, shipped once; executors keep the index that they make from it."""
+        if self.shipped is None:
+            self.shipped = spark.sparkContext.broadcast(self)  # bounded by examples and terms
+        return self.shipped
+
+    def calibrate(self, spark: SparkSession) -> None:
+        """Fits the sigmoid on the votes of examples; the index is made on the executors only."""
+        shipped, at = self.broadcast(spark), self.fitted_on
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = batch.column(0).to_pylist()
+                for i in range(0, len(own), BLOCK):
+                    part = own[i : i + BLOCK]
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(shipped.value.votes_without(part))], names=["id", "vote"])
+
+        if not len(at):
+            return
+        step = int(at[1] - at[0]) if len(at) > 1 else 1
+        t = spark.range(0, int(at[-1]) + 1, step, 6).mapInArrow(run, "id long, vote double").toArrow().sort_by("id")  # a number an example
+        raw, y = t["vote"].to_numpy(), self.labels[t["id"].to_numpy()]
+        if 0 < y.sum() < len(y):
+            self.a, self.b = fit_sigmoid(np.log(raw / (1 - raw)), y)
+            if self.a <= 0:  # calibration never turns the order of the votes around
+                self.a, self.b = 1.0, 0.0
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "index"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("index", "shipped")}
 
     def __getattr__(self, name: str):
         if name != "index":
             raise AttributeError(name)
-        weight = (1 + np.log(self.tf)) * self.idf[self.term] * self.vocabulary.boost[self.term]
-        if len(weight):
-            weight /= np.repeat(np.sqrt(np.add.reduceat(weight**2, self.start[:-1])), np.diff(self.start))
+        weight = np.log(self.tf)
+        weight += 1
+        weight *= (self.idf * self.vocabulary.boost)[self.term]
+        for s, e in zip(self.start[:-1].tolist(), self.start[1:].tolist(), strict=True):
+            weight[s:e] /= np.sqrt((weight[s:e] ** 2).sum())
         self.index = ExampleIndex(self.start, self.term, weight, self.vocabulary.size)
         return self.index
 
@@ -270,7 +310,7 @@ class ToxicityModel:
         marks = self.labels[[i for _, i in near]] if near else np.zeros(0)
         return float(np.clip(((sims * marks).sum() + self.prior * self.rate) / (sims.sum() + self.prior), 1e-6, 1 - 1e-6))
 
-    def scores(self, texts: list[str | None]) -> list[tuple[float, list[int], list[str]]]:
+    def scores(self, texts: list[str | None], a: float, b: float) -> list[tuple[float, list[int], list[str]]]:
         keys = [hashlib.blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
         if len(self.memo) >= 50_000:
             self.memo.clear()
@@ -280,7 +320,7 @@ class ToxicityModel:
         self.memo.update({k: (float(self.bare), [], []) for k in found})
         for k, near in zip(full, self.index.nearest([self.vector(*found[k]) for k in full], self.k), strict=True):
             raw = self.vote(near)
-            value = float(sigmoid(np.array(self.a * np.log(raw / (1 - raw)) + self.b)))
+            value = float(sigmoid(np.array(a * np.log(raw / (1 - raw)) + b)))
             term = found[k][0]
             strong = term[self.vocabulary.boost[term] > 1]
             self.memo[k] = value, [int(self.ids[i]) for _, i in near[:5]], sorted(self.vocabulary.terms[int(t)].as_py() for t in strong)
@@ -358,7 +398,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
             kept[i.as_py()] = new
     found = [(i, y, c) for i, (y, c) in kept.items()]
     kept.clear()
-    return ToxicityModel(vocabulary, idf, found)
+    model = ToxicityModel(vocabulary, idf, found)
+    found.clear()
+    model.calibrate(docs.sparkSession)
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None) -> DataFrame:
@@ -368,7 +411,7 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None)
     share no term with an example, get the rate of label 1 among examples without a term and no evidence.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "evidence", "terms")]
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded by examples and terms
+    shipped, a, b = model.broadcast(docs.sparkSession), model.a, model.b
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_whole_text"))
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("score", "double").add("evidence", T.ArrayType(T.LongType())).add("terms", T.ArrayType(T.StringType()))
 
@@ -376,7 +419,7 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None)
         model = shipped.value
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
-            out = [x for i in range(0, len(texts), BLOCK) for x in model.scores(texts[i : i + BLOCK].to_pylist())]
+            out = [x for i in range(0, len(texts), BLOCK) for x in model.scores(texts[i : i + BLOCK].to_pylist(), a, b)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array([o[0] for o in out], pa.float64()), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array([o[2] for o in out], pa.list_(pa.string()))],
                 names=[*keep, "score", "evidence", "terms"],
