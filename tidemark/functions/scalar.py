@@ -191,7 +191,10 @@ def call_text(xml: Column) -> Column:
 
 
 def attribute(xml: Column, element: str, name: str) -> Column:
+    """The value of an element's attribute, its entities resolved."""
     found = F.regexp_extract(xml, f'(?s)<{element}\\b[^>]*?\\b{name}\\s*=\\s*"([^"]*)"', 1)
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        found = F.replace(found, F.lit(entity), F.lit(sign))
     return F.when(found != "", found)
 
 
