@@ -48,7 +48,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best_fit_packing", pack),
 ]
 
-#: SQL can't express the learned and the tokenizing stages; tests/llm holds run() against brute force.
+#: SQL can't express the learned and the tokenizing stages. tests/llm holds the near-duplicate and line stages against brute force, the others by their operators' tests.
 ORACLE_SQL: str | None = None
 
 
