@@ -23,6 +23,15 @@ def test_texts(spark):
     body = '<sysmsg type="sysmsgtemplate"><sysmsgtemplate><content_template><template>$a$ met $b$</template><link_list><link name="a"><plain>Ann</plain></link></link_list></content_template></sysmsgtemplate></sysmsg>'
     assert one(spark, body, lambda X: S.message_text(X, F.lit(10000))) == "Ann met $b$"
     assert one(spark, "ok\x01", lambda X: S.message_text(X, F.lit(1))) is None
+    assert one(spark, "Bo:\n" + body, lambda X: S.message_text(X, F.lit(10000))) == "Ann met $b$"
+    plain = body.replace("<template>", "<plain>a &amp; b</plain><template>")
+    assert one(spark, plain, lambda X: S.message_text(X, F.lit(10000))) == "a & b"
+    twice = body.replace("<plain>Ann</plain>", "<plain></plain><memberlist><member><nickname><![CDATA[$a$ &amp;]]></nickname></member></memberlist>")
+    assert one(spark, twice, lambda X: S.message_text(X, F.lit(10000))) == "$a$ &amp; met $b$"
+    assert one(spark, "Bo:\n<sysmsg type='other'><x/></sysmsg>", lambda X: S.message_text(X, F.lit(10000))) is None
+    assert one(spark, "<msg><title>微信红包</title><des>D</des><paysubtype>1</paysubtype></msg>", lambda X: S.message_text(X, F.lit(49))) == "微信红包"
+    assert one(spark, "<msg><title><![CDATA[微信转账]]></title></msg>", lambda X: S.message_text(X, F.lit(49))) == "微信转账\n转账状态未知"
+    assert one(spark, '<msg><location label="A &amp;amp; B"/></msg>', lambda X: S.message_text(X, F.lit(48))) == "位置分享：A &amp; B"
     assert one(spark, "a\x14b ", lambda X: S.message_text(X, F.lit(1))) == "ab"
 
 
@@ -70,6 +79,9 @@ def test_inflate():
     assert decode.inflate(zstandard.compress(b"  "))[1] == "compressed_content_empty"
     assert decode.inflate(zstandard.compress(b"x" * 100), most=50)[1] == "compressed_content_exceeds_limit"
     assert decode.inflate(None) == (None, None)
+    unsized = zstandard.ZstdCompressor().compressobj()
+    bomb = unsized.compress(b"\0" * (64 << 20)) + unsized.flush()
+    assert decode.inflate(bomb)[1] == "compressed_content_exceeds_limit"
 
 
 def test_wire(spark):

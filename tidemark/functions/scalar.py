@@ -13,6 +13,10 @@ STICKER_APP, PAT_EVENT = (8 << 32) | 49, (62 << 32) | 49
 #: Statuses that say the direction, and those that a calibrated sender decides.
 OUTGOING, INCOMING, CALIBRATED = 2, 4, (0, 3, 5)
 SYSTEM = 10000
+#: Fixed values of the message format: the titles of money transfers and of red packets.
+TRANSFER_TITLE, RED_PACKET_TITLE = "微信转账", "微信红包"
+#: Fixed values of the message format: what the subtypes of a transfer mean, and any other.
+TRANSFER_STATES, TRANSFER_UNKNOWN = {"1": "转账已发起", "3": "转账已确认收款", "4": "转账已退还"}, "转账状态未知"
 
 
 def blank_to_null(c: Column) -> Column:
@@ -172,14 +176,22 @@ def link_text(xml: Column) -> Column:
     return F.when(F.size(parts) > 0, F.array_join(F.array_distinct(parts), "\n"))
 
 
-def transfer_text(xml: Column, heading: str = "转账", own_titles: tuple[str, ...] = ("转账",), red_packets: tuple[str, ...] = ("红包",)) -> Column:
-    """The state of a money transfer by its subtype, with the amount; null for anything else. Titles are parameters of the store's language."""
+def red_packet_text(xml: Column) -> Column:
+    """The title of a red packet, which is all that it says; null for anything else."""
+    title = safe_text(tag_text(xml, "title", True))
+    return F.when(title == RED_PACKET_TITLE, title)
+
+
+def transfer_text(xml: Column) -> Column:
+    """The state of a money transfer by its subtype, with the amount; null for anything else, red packets included."""
     title, subtype = safe_text(tag_text(xml, "title", True)), safe_text(tag_text(xml, "paysubtype", True))
-    marked = tag_text(xml, "paysubtype", True).isNotNull() | xml.rlike("(?i)<(transferid|paymsgid|feedesc)>") | title.isin(*own_titles)
-    state = F.when(subtype == "1", "转账已发起").when(subtype == "3", "转账已确认收款").when(subtype == "4", "转账已退还").otherwise("转账状态未知")
+    marked = tag_text(xml, "paysubtype", True).isNotNull() | xml.rlike("(?i)<(transferid|paymsgid|feedesc)>") | F.coalesce(title == TRANSFER_TITLE, F.lit(False))
+    state = F.lit(TRANSFER_UNKNOWN)
+    for code, said in TRANSFER_STATES.items():
+        state = F.when(subtype == code, said).otherwise(state)
     amount = safe_text(tag_text(xml, "feedesc", True))
-    text = F.concat(F.lit(heading + "\n"), state, F.coalesce(F.concat(F.lit("，金额 "), amount), F.lit("")))
-    return F.when(marked & ~F.coalesce(title.isin(*red_packets), F.lit(False)), text)
+    text = F.concat(F.lit(f"{TRANSFER_TITLE}\n"), state, F.coalesce(F.concat(F.lit("，金额 "), amount), F.lit("")))
+    return F.when(marked & red_packet_text(xml).isNull(), text)
 
 
 def call_text(xml: Column) -> Column:
@@ -190,12 +202,17 @@ def call_text(xml: Column) -> Column:
     return F.coalesce(said, *shown, F.when(seconds.try_cast("bigint") > 0, F.concat(F.lit("通话时长 "), seconds)))
 
 
+def resolved(xml: Column) -> Column:
+    """Text or attribute value with the named entities of XML resolved."""
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        xml = F.replace(xml, F.lit(entity), F.lit(sign))
+    return xml
+
+
 def attribute(xml: Column, element: str, name: str) -> Column:
     """The value of an element's attribute, its entities resolved."""
     found = F.regexp_extract(xml, f'(?s)<{element}\\b[^>]*?\\b{name}\\s*=\\s*"([^"]*)"', 1)
-    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        found = F.replace(found, F.lit(entity), F.lit(sign))
-    return F.when(found != "", found)
+    return F.when(found != "", resolved(found))
 
 
 def location_text(xml: Column) -> Column:
@@ -206,18 +223,35 @@ def location_text(xml: Column) -> Column:
     return F.when(xml.rlike(r"<location\b"), F.coalesce(F.concat(F.lit("位置分享："), shown), F.lit("位置分享（未提供地点名称）")))
 
 
+def element_text(xml: Column, tag: str) -> Column:
+    """As ``tag_text``, with entities resolved outside CDATA."""
+    found = tag_text(xml, tag)
+    return F.when(xml.rlike(f"(?s)<{tag}>\\s*<!\\[CDATA\\["), found).otherwise(resolved(found))
+
+
 def system_text(value: Column) -> Column:
-    """System notices: plain ones as they are, withdrawals as such, templates with their links' display texts put in."""
-    plain = F.when(~F.startswith(F.ltrim(value), F.lit("<")), safe_text(value, "\x14"))
-    withdrawn = F.when(value.rlike("(?s)^<sysmsg.*<revokemsg"), "消息已撤回")
-    template = safe_text(tag_text(value, "template"), "\x14")
-    links = F.regexp_extract_all(value, F.lit(r"(?s)<link name=\"[^\"]+\".*?</link>"), F.lit(0))
-    filled = F.aggregate(
-        links,
-        template,
-        lambda t, link: F.coalesce(F.replace(t, F.concat(F.lit("$"), F.regexp_extract(link, r'name="([^"]+)"', 1), F.lit("$")), F.coalesce(tag_text(link, "plain"), tag_text(link, "title"), tag_text(link, "nickname"))), t),
+    """System notices: plain ones as they are, withdrawals as such, templates by their plain text or with their links' displays put in.
+
+    A speaker's line in front of a notice is taken off. Nothing else of a notice's markup is ever shown.
+    """
+    body = F.regexp_replace(value, r"^\s*[^\s<>:]+:\s*\n(?=<sysmsg\b)", "")
+    plain = F.when(~F.startswith(F.ltrim(body), F.lit("<")), safe_text(body, "\x14"))
+    withdrawn = F.when(body.rlike(r"(?s)^\s*<sysmsg\b.*<revokemsg\b"), "消息已撤回")
+    known = body.rlike("""(?s)^\\s*<sysmsg\\b[^>]*\\btype\\s*=\\s*["']sysmsgtemplate["'].*</sysmsg>\\s*$""")
+    content = F.regexp_extract(body, r"(?s)<content_template\b[^>]*>(.*?)</content_template>", 1)
+    own = F.regexp_replace(content, r"(?s)<link_list\b.*?</link_list>", "")
+    shown = F.transform(
+        F.regexp_extract_all(content, F.lit(r"(?s)<link\b[^>]*>.*?</link>"), F.lit(0)),
+        lambda link: F.struct(
+            F.concat(F.lit("$"), attribute(link, "link", "name"), F.lit("$")).alias("name"),
+            F.coalesce(*[safe_text(element_text(link, t), "\x14") for t in ("plain", "title", "nickname")]).alias("text"),
+        ),
     )
-    return F.coalesce(plain, withdrawn, F.when(value.rlike("sysmsgtemplate"), safe_text(filled, "\x14")))
+    # Of links of one name the last that has a display counts; what a display says is not looked at again.
+    links = F.reverse(F.filter(shown, lambda x: x["name"].isNotNull() & x["text"].isNotNull()))
+    pieces = F.regexp_extract_all(safe_text(element_text(own, "template"), "\x14"), F.lit(r"(?s)\$[A-Za-z_][A-Za-z0-9_]*\$|[^$]+|\$"), F.lit(0))
+    filled = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(F.filter(links, lambda x: x["name"] == p), F.lit(1))["text"], p)), "")
+    return F.coalesce(plain, withdrawn, F.when(known, F.coalesce(safe_text(element_text(own, "plain"), "\x14"), safe_text(filled, "\x14"))))
 
 
 def message_text(content: Column, kind: Column) -> Column:
@@ -229,7 +263,7 @@ def message_text(content: Column, kind: Column) -> Column:
         .when(kind == 1, safe_text(content, "\x14"))
         .when(kind == 48, location_text(content))
         .when(kind == 50, call)
-        .when(kind == 49, F.coalesce(transfer_text(content), link_text(content)))
+        .when(kind == 49, F.coalesce(red_packet_text(content), transfer_text(content), link_text(content)))
     )
 
 

@@ -399,6 +399,37 @@ def quote_ids(spark, sf_dir):
     return t(spark, sf_dir, "pages").select("page_id", F.size(S.quote_ids(x)).cast("bigint").alias("ids"))
 
 
+@query(
+    """SELECT conv_id, turn, CASE turn % 6
+      WHEN 0 THEN role || chr(10) || 'http://x/' || conv_id
+      WHEN 1 THEN '微信红包'
+      WHEN 2 THEN '微信转账' || chr(10) || CASE turn % 5 WHEN 1 THEN '转账已发起' WHEN 3 THEN '转账已确认收款' WHEN 4 THEN '转账已退还' ELSE '转账状态未知' END || '，金额 ' || conv_id
+      WHEN 3 THEN '位置分享：' || role || ' & ' || conv_id || '；' || role
+      WHEN 4 THEN role || ' joined $gone$'
+      ELSE role || ' ended' END AS body FROM conversations"""
+)
+def message_bodies(spark, sf_dir):
+    """The readable text of messages of five types, from bodies that hold the table's values."""
+    turn, who, at = F.col("turn"), F.col("role"), F.col("conv_id").cast("string")
+    template = (
+        ":\n<sysmsg type=\"sysmsgtemplate\"><sysmsgtemplate><content_template><plain></plain><template>$who$ joined $gone$</template>"
+        "<link_list><link name=\"who\"><plain><![CDATA["
+    )
+    kinds = [
+        (49, F.concat(F.lit("<msg><title>"), who, F.lit("</title><des>"), who, F.lit("</des><url>http://x/"), at, F.lit("</url></msg>"))),
+        (49, F.concat(F.lit("<msg><title><![CDATA[微信红包]]></title><des>"), who, F.lit("</des></msg>"))),
+        (49, F.concat(F.lit("<msg><title>微信转账</title><paysubtype>"), turn % 5, F.lit("</paysubtype><feedesc><![CDATA["), at, F.lit("]]></feedesc></msg>"))),
+        (48, F.concat(F.lit("<msg><location poiname=\""), who, F.lit(" &amp; "), at, F.lit("\" label=\""), who, F.lit("\"/></msg>"))),
+        (10000, F.concat(who, F.lit(template), who, F.lit("]]></plain></link></link_list></content_template></sysmsgtemplate></sysmsg>"))),
+        (50, F.concat(F.lit("<voipmsg type=\"b\"><msg>"), who, F.lit(" ended</msg></voipmsg>"))),
+    ]
+    content, kind = F.lit(None).cast("string"), F.lit(None).cast("int")
+    for k, (n, body) in enumerate(kinds):
+        content, kind = F.when(turn % 6 == k, body).otherwise(content), F.when(turn % 6 == k, n).otherwise(kind)
+    bodies = t(spark, sf_dir, "conversations").select("conv_id", "turn", content.alias("content"), kind.alias("kind"))
+    return bodies.select("conv_id", "turn", S.message_text(F.col("content"), F.col("kind")).alias("body"))
+
+
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def json_props(spark, sf_dir):
     return t(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
