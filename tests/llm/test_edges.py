@@ -1,11 +1,12 @@
 """Repeated and null ids, clashing names and long lists."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from tests.llm.test_operators import docs
-from tidemark.llm import line_dedup, minhash, quality, toxicity
+from tidemark.llm import line_dedup, minhash, quality, secrets, toxicity
 
 
 def test_minhash_of_an_id_with_two_texts(spark):
@@ -38,3 +39,46 @@ def test_clashing_names(spark):
     assert toxicity.score(d, toxicity.train(d, labels, F.lit(True))).count() == 3
     out = line_dedup.dedup_lines(d.unionByName(d.withColumn("doc_id", F.col("doc_id") + 10)))
     assert sorted(r["doc_id"] for r in out.collect()) == [0, 1, 2] and out.columns == d.columns
+
+
+def test_model_spans_against_brute_force(spark, sf):
+    """Runs with and without digits, short and long, by a loop over the model's ratios; repeated and null rows too."""
+    rng = random.Random(5)
+    models = secrets.train(secrets.labelled_samples(spark.read.parquet(f"{sf}/documents.parquet")))
+    made = ["qWzRtYpLkJhGfDsAmNbVcXzQ", "x8Kq2ZpL9vTr4WmN7b", "some_long_identifier_name_2", "/usr/local/lib/python3/site-packages", "Donaudampfschifffahrtsgesellschaft"]
+    made += ["".join(rng.choices(secrets.ALPHABET[: rng.choice([26, 52, 62, 65])], k=rng.randrange(8, 50))) for _ in range(200)]
+    texts = ["é😀 " + " . ".join(rng.choices(made, k=6)) for _ in range(120)] + [". ".join(made), "", None, "".join(made[:2]) * 40]
+    got = {r["doc_id"]: [(m["start"], m["end"]) for m in r["markov"]] for r in secrets.scan(docs(spark, texts), models).collect()}
+    place = {c: k for k, c in enumerate(secrets.ALPHABET)}
+    hits = 0
+    for i, text in enumerate(texts):
+        taken = [m.span() for _, p, *_ in secrets.RULES for m in re.finditer(p, text or "")]
+        want = []
+        for m in re.finditer("[A-Za-z0-9+/_=-]+", text or ""):
+            at = [place[c] for c in m[0]]
+            total = sum(models.ratios[a * secrets.SIGNS + b] for a, b in zip(at, at[1:], strict=False))
+            if len(at) >= 16 and total >= max(500 * (len(at) - 1), 9500) and not any(a < m.end() and m.start() < b for a, b in taken):
+                want.append(m.span())
+        assert got[i] == want
+        hits += len(want)
+    assert hits > 100 and len(got[len(texts) - 1]) == 1
+    twice = docs(spark, texts[:1]).unionByName(docs(spark, texts[:1])).withColumn("doc_id", F.lit(None).cast("long"))
+    assert [[(m["start"], m["end"]) for m in r["markov"]] for r in secrets.scan(twice, models).collect()] == [got[0]] * 2
+
+
+def test_many_matches_in_one_text(spark):
+    """More matches than one step numbers, with gaps of every length."""
+    rng = random.Random(6)
+    text = "".join("ü" * rng.randrange(4) + " token=" + "a" * rng.randrange(1, 12) + "," for _ in range(3000))
+    want = [m.span() for m in re.finditer(secrets.ASSIGN, text) if len(m[2]) >= 6]
+    models = secrets.MarkovModels([0] * secrets.SIGNS**2)
+    row = secrets.scan(docs(spark, [text]), models).head()
+    assert [(m["start"], m["end"]) for m in row["base"]] == want and len(want) > 3 * secrets.STEP
+
+
+def test_first_texts(spark):
+    d = docs(spark, [f"text {i}" for i in range(50)] + [None])
+    many = d.unionByName(d).unionByName(d.withColumn("doc_id", F.lit(None).cast("long")))
+    one = sorted(r["text"] for r in secrets.first_texts(many, 20).collect())
+    assert one == sorted(r["text"] for r in secrets.first_texts(many.repartition(7), 20).collect()) and 0 < len(one) <= 20
+    assert secrets.first_texts(d.limit(0), 5).count() == 0
