@@ -2,11 +2,13 @@
 
 import random
 import re
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tests.llm.test_operators import docs
-from tidemark.llm import line_dedup, minhash, quality, secrets, toxicity
+from tidemark.llm import decontamination, line_dedup, minhash, quality, secrets, toxicity
 
 
 def test_minhash_of_an_id_with_two_texts(spark):
@@ -82,3 +84,55 @@ def test_first_texts(spark):
     one = sorted(r["text"] for r in secrets.first_texts(many, 20).collect())
     assert one == sorted(r["text"] for r in secrets.first_texts(many.repartition(7), 20).collect()) and 0 < len(one) <= 20
     assert secrets.first_texts(d.limit(0), 5).count() == 0
+
+
+def brute_leaks(text, items, least=0.8):
+    """(item, similarity to 6 places) of every item by every window of every text, weights as in the index."""
+    words = {k: t.lower().split() for k, t in enumerate(items)}
+
+    def bag(w, size):
+        return Counter(tuple(w[i : i + size]) for i in range(len(w) - size + 1))
+
+    bags = {k: bag(w, min(5, len(w))) for k, w in words.items()}
+    count = Counter(s for b in bags.values() for s in b)
+
+    def weight(s):
+        return max(1, round(4 - 0.5 * np.log2(count[s]))) if s in count else 4
+
+    own, out = (text or "").lower().split(), {}
+    for k, b in bags.items():
+        size, n = min(5, len(words[k])), min(len(words[k]), len(own))
+        for at in range(len(own) - n + 1 if n >= size else 0):
+            w = bag(own[at : at + n], size)
+            both = sum(weight(s) * min(w[s], b[s]) for s in w)
+            s = 2 * both / sum(weight(s) * c for x in (w, b) for s, c in x.items())
+            if s >= least:
+                out[k] = max(out.get(k, 0), round(s, 6))
+    return out
+
+
+def test_leaks_against_brute_force(spark):
+    """Items whole, edited, cut at the ends and as documents of their own, by all windows and items."""
+    rng = random.Random(14)
+    items = [" ".join(f"v{rng.randrange(60)}" for _ in range(n)) for n in (3, 5, 6, 12, 12, 20, 20, 40, 40, 60)]
+    texts = [None, "", "v1"]
+    for _ in range(300):
+        w = rng.choice(items).split()
+        for _ in range(rng.choice([0, 0, 1, 1, 2])):
+            w[rng.randrange(len(w))] = f"v{rng.randrange(90)}"
+        w = w[rng.choice([0, 0, 1]) : len(w) - rng.choice([0, 0, 1, 2])]
+        around = [[f"v{rng.randrange(60)}" for _ in range(rng.choice([0, 0, 9]))] for _ in range(2)]
+        texts.append(" ".join(around[0] + w + around[1]))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): round(r["similarity"], 6) for r in decontamination.leaks(docs(spark, texts), bench).collect()}
+    want = {(i, k): s for i, t in enumerate(texts) for k, s in brute_leaks(t, items).items()}
+    assert got == want and len(want) > 100
+
+
+def test_items_of_one_id_and_of_none(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    bench = spark.createDataFrame([(1, a), (1, b), (None, c), (None, a), (1, a)], "item_id long, text string")
+    d = docs(spark, [a, b, c, a[:-4], "nothing of the kind"])
+    found = sorted((r["doc_id"], r["item_id"] or 0, r["words"]) for r in decontamination.leaks(d, bench).collect())
+    assert found == [(0, 0, 30), (0, 1, 30), (1, 1, 30), (2, 0, 30), (3, 0, 29), (3, 1, 29)]
+    assert [r["doc_id"] for r in decontamination.decontaminated(d, bench).collect()] == [4]

@@ -64,9 +64,11 @@ class BenchmarkIndex:
     finds all of them.
     """
 
-    def __init__(self, items: list[tuple[int, str]], shingle: int, radius: int, least: float):
+    def __init__(self, items: list[tuple[int | None, str]], shingle: int, radius: int, least: float):
         self.shingle, self.radius, self.least = shingle, radius, least
-        words = {i: split_words(t) for i, t in items}
+        #: Items go by their place here: an id may have several texts, and texts may have no id.
+        self.item_ids = [i for i, _ in items]
+        words = {k: split_words(t) for k, (_, t) in enumerate(items)}
         words = {i: w for i, w in words.items() if w}
         self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for own in words.values() for w in own}))}
         self.code_of = np.array([0] + [xxhash.xxh64_intdigest(w) for w in self.vocabulary], dtype=np.uint64)
@@ -104,10 +106,11 @@ class BenchmarkIndex:
         each = sum(x * (a[k] + b[k]) for x, k in zip(w, keys.tolist(), strict=True))
         return 2 * both / each if each else 0.0
 
-    def search(self, text: str | None) -> list[tuple[int, int, int, float]]:
+    def search(self, text: str | None) -> list[tuple[int | None, int, int, float]]:
         """(item, first word, words, similarity): for each item its best window, the first one of equals.
 
-        Only windows with enough weight of shingles that items of their size have are fingerprinted;
+        A text with fewer words than an item is one window. Of an id with several texts the best one counts; texts
+        without an id count each. Only windows with enough weight of shingles that items of their size have are fingerprinted;
         any other window is less than ``least`` similar to every item.
         """
         own = split_words(text)
@@ -119,7 +122,8 @@ class BenchmarkIndex:
         hits_of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n, group in self.groups.items():
             size = min(self.shingle, n)
-            if n > len(own):
+            n = min(n, len(own))  # a shorter text is one window
+            if n < size:
                 continue
             if size not in hits_of:
                 inside = np.concatenate([[0], np.cumsum(ids > 0)])
@@ -144,7 +148,12 @@ class BenchmarkIndex:
             for part in np.split(starts, np.flatnonzero(np.diff(starts) > n) + 1):
                 for at in range(0, len(part), 4096):
                     self._windows(own, part[at : at + 4096], n, size, group, found)
-        return [(i, start, n, s) for i, (s, start, n) in sorted(found.items())]
+        best: dict[tuple[int | None, int], tuple[float, int, int]] = {}
+        for k, window in found.items():
+            item = self.item_ids[k]
+            slot = item, k if item is None else -1
+            best[slot] = max(best.get(slot, (0.0, 0, 0)), window)
+        return [(item, start, n, s) for (item, _), (s, start, n) in sorted(best.items(), key=lambda x: (x[0][0] is not None, x[0][0] or 0, x[0][1]))]
 
     def _windows(self, own: list[bytes], starts: np.ndarray, n: int, size: int, group: dict, found: dict) -> None:
         if not len(starts):
@@ -170,21 +179,23 @@ class BenchmarkIndex:
 
 
 def build(benchmark: DataFrame, shingle: int = 5, radius: int = 26, least: float = 0.8, most_bytes: int = 64 << 20) -> BenchmarkIndex:
-    """Collects the benchmark, after a check that its texts take at most ``most_bytes``."""
-    rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    """Collects the benchmark, after a check that its texts take at most ``most_bytes``; items are its distinct (id, text)."""
+    rows = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).head()["n"] or 0
     if size > most_bytes:
         raise ValueError(f"the benchmark has {size} bytes of text, over most_bytes; split it and search for each part")
-    return BenchmarkIndex(sorted({(r["item_id"], r["text"]) for r in rows.collect()}), shingle, radius, least)
+    items = sorted({(r["item_id"], r["text"]) for r in rows.collect()}, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    return BenchmarkIndex(items, shingle, radius, least)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, index: BenchmarkIndex | None = None, **settings) -> DataFrame:
     """Documents that hold a benchmark item: (doc_id, item_id, start_word, words, similarity), a row per pair.
 
     A window of as many words as the item has must reach ``least`` in weighted Dice similarity of
-    ``shingle``-word shingles (an item with fewer words is one shingle). Whole texts are searched;
-    null and empty ones hold nothing, nor do items without words. Repeated documents are reported
-    once each, of an item repeated under one id the last in order; other columns are ignored.
+    ``shingle``-word shingles (an item with fewer words is one shingle); a document with fewer words than
+    the item is one window itself. Whole texts are searched; null and empty ones hold nothing, nor do
+    items without words. Repeated documents are reported once each, an id with several texts by the most
+    similar one, items without an id with a null one, a row a text; other columns are ignored.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(index or build(benchmark, **settings))
 
