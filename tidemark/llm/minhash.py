@@ -157,9 +157,12 @@ def texts_of(keys: DataFrame, docs: DataFrame, classes: DataFrame, words: int, t
 
     some = restricted(docs.select("doc_id", "text"), wanted.select("rep").distinct(), "doc_id").mapInArrow(run, "doc_id long, set_hash string, text string")
     hit = small(wanted, "128").select("key", F.col("rep").alias("r"), F.col("set_hash").alias("h"))
-    found = some.join(hit, (F.col("doc_id") == F.col("r")) & (F.col("set_hash") == F.col("h"))).groupBy("key").agg(F.min("text").alias("text"))
-    out = materialize(found, f"{tag}-texts")
+    out = materialize(some.join(hit, (F.col("doc_id") == F.col("r")) & (F.col("set_hash") == F.col("h"))).select("key", "text"), f"{tag}-texts")
     forget(wanted)
+    # Only a row that repeats both id and set gives a class two texts; texts are shuffled for that alone.
+    if out.groupBy("key").count().where("count > 1").limit(1).count():
+        every, out = out, materialize(out.groupBy("key").agg(F.min("text").alias("text")), f"{tag}-one-text")
+        forget(every)
     return out
 
 
@@ -215,7 +218,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, k: int = 32, least_shared:
     further = F.lit(FURTHER) + F.xxhash64("set_hash").bitwiseAND(F.lit(FURTHER // 2 - 1))
     key = F.when(F.col("r").isNull() | (F.col("set_hash") == F.col("h")), F.col("rep")).otherwise(further)
     classes = materialize(by_set.join(shared, F.col("rep") == F.col("r"), "left").select("set_hash", "rep", key.alias("key")), f"{tag}-classes")
-    one = whole.join(classes.select("set_hash", F.col("rep").alias("doc_id"), "key"), ["set_hash", "doc_id"]).dropDuplicates(["key"])
+    one = whole.join(classes.select("set_hash", F.col("rep").alias("doc_id"), "key"), ["set_hash", "doc_id"]).dropDuplicates(["set_hash", "doc_id"])
     reps = materialize(one.select(F.col("key").alias("doc_id"), "n", "sketch"), f"{tag}-reps")
     postings = materialize(sketch_postings(reps, k, least_shared), f"{tag}-postings")
     lists = postings.groupBy("v").agg(F.min("rep").alias("hub"), F.min_by("n", "rep").alias("hub_n"), F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("v").alias("lv"), "hub", "hub_n")
@@ -237,7 +240,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, k: int = 32, least_shared:
     forget(postings, listed, labelled, likely)
     if rest.limit(1).count():
         texts = texts_of(rest.select("rep"), docs, classes, words, f"{tag}-rest")
-        labels = texts.join(rest, F.col("key") == F.col("rep")).select(F.col("key").alias("doc_id"), "text", "label")
+        labels = texts.join(small(rest, "16"), F.col("key") == F.col("rep")).select(F.col("key").alias("doc_id"), "text", "label")
         exact = materialize(exact_postings(labels, words), f"{tag}-exact")
         x = exact.select("v", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("pos").alias("pa"))
         y = exact.select("v", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
