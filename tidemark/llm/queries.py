@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, language_id, line_dedup, minhash, packing, quality, secrets, sharding, topk_search, toxicity
+from tidemark.llm import alignment, decontamination, filter_audit, language_id, line_dedup, minhash, packing, quality, secrets, sharding, topk_search, toxicity, url_filters
 from tidemark.llm.common import crc_fold, table
 
 
@@ -102,6 +102,100 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"), tokenizer_path(), size=4096, end_id=1)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    byte_path, piece_path = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(table(spark, sf_dir, "documents"), byte_path, piece_path).drop("groups")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), first AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text), marked AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(marked.toxic, 0) AS toxic, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+         100 * length(regexp_replace(d.text, '[^A-Z]+', '', 'g')) > 3 * length(d.text) AS c, regexp_matches(d.text, '[#$%&*|]') AS d, coalesce(d.doc_id > first, false) AS e
+  FROM d JOIN first ON d.text = first.text LEFT JOIN marked ON marked.doc_id = d.doc_id
+), f AS (
+  SELECT part, (CASE WHEN a THEN 'A' ELSE '' END) || (CASE WHEN b THEN 'B' ELSE '' END) || (CASE WHEN c THEN 'C' ELSE '' END) || (CASE WHEN d THEN 'D' ELSE '' END) || (CASE WHEN e THEN 'E' ELSE '' END) AS failed,
+         count(*) AS n, sum(good) AS good, sum(toxic) AS toxic
+  FROM m GROUP BY ALL
+), l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x), orders AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM l AS p, l AS q, l AS r, l AS s, l AS t
+  WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5
+), steps AS (SELECT filter_order, CAST(k AS INTEGER) AS step, filter_order[k:k] AS own, filter_order[1:k - 1] AS earlier FROM orders, range(1, 6) AS r(k)), s AS (
+  SELECT part, filter_order, step, own, n, good, toxic, failed, contains(failed, own) AS fails,
+         len(list_filter(string_split(failed, ''), lambda x: x <> '' AND contains(earlier, x))) > 0 AS gone
+  FROM f, steps
+), sums AS (
+  SELECT part, filter_order, step, own, sum(CASE WHEN fails OR gone THEN 0 ELSE n END) AS kept, sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN fails AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN failed = own THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN fails AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN fails AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost
+  FROM s GROUP BY ALL
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM sums
+"""
+
+#: The rules that op13 goes by: verdict, host, path.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge_pages(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+OP13_SQL = r"""
+WITH RECURSIVE u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path,
+         list_distinct(list_transform(regexp_extract_all(coalesce(html, ''), '<[aA](?:[rR][eE][aA])?[ 	
+][^<>]*?[hH][rR][eE][fF][ 	
+]*=[ 	
+]*["'']?[ 	
+]*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#"''<> 	
+]*)', 1),
+           lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS targets
+  FROM pages
+), p AS (
+  SELECT *, CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+                 WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+                 WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+                 WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+                 WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM u
+), q AS (SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS said FROM p), seeds AS (
+  SELECT host, CAST(floor(count(CASE WHEN said = 'allow' THEN 1 END) * CAST(1073741824 AS DOUBLE) / count(*)) AS BIGINT) AS allow,
+         CAST(floor(count(CASE WHEN said = 'block' THEN 1 END) * CAST(1073741824 AS DOUBLE) / count(*)) AS BIGINT) AS block
+  FROM q WHERE host <> '' GROUP BY host
+), l AS (
+  SELECT src, dst, count(*) AS weight FROM (SELECT host AS src, unnest(targets) AS dst FROM q) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst
+), e AS (SELECT 'trust' AS side, src, dst, weight FROM l UNION ALL SELECT 'distrust', dst, src, weight FROM l), shares AS (
+  SELECT *, sum(weight) OVER (PARTITION BY side, src) AS out FROM e
+), moved AS (
+  SELECT 0 AS k, side, node, mass FROM (SELECT 'trust' AS side, host AS node, allow AS mass FROM seeds UNION ALL SELECT 'distrust', host, block FROM seeds) WHERE mass > 0
+  UNION ALL
+  SELECT k, side, node, mass FROM (
+    SELECT moved.k + 1 AS k, moved.side, shares.dst AS node, CAST(sum(CAST(floor(CAST(mass AS DOUBLE) * CAST(weight AS DOUBLE) / CAST(out AS DOUBLE) * CAST(0.85 AS DOUBLE)) AS BIGINT)) AS BIGINT) AS mass
+    FROM moved JOIN shares ON shares.side = moved.side AND shares.src = moved.node WHERE moved.k < 43 GROUP BY 1, 2, 3
+  ) WHERE mass > 0
+), ranks AS (
+  SELECT node, CAST(sum(CASE WHEN side = 'trust' THEN mass ELSE 0 END) AS BIGINT) AS trust, CAST(sum(CASE WHEN side = 'distrust' THEN mass ELSE 0 END) AS BIGINT) AS distrust FROM moved GROUP BY node
+)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN distrust > CAST(0.5 AS DOUBLE) * (trust + distrust) THEN 'block' ELSE 'allow' END) AS verdict,
+       CAST(coalesce(trust, 0) AS DOUBLE) / 1073741824 AS trust, CAST(coalesce(distrust, 0) AS DOUBLE) / 1073741824 AS distrust
+FROM q LEFT JOIN ranks ON host = node
+"""
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_minhash": op2_minhash,
@@ -113,6 +207,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_alignment": op11_alignment,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_url_filters": op13_url_filters,
 }
 
-ORACLE_SQL = {"op2_minhash": OP2_SQL, "op4_topk_search": OP4_SQL}
+ORACLE_SQL = {"op2_minhash": OP2_SQL, "op4_topk_search": OP4_SQL, "op12_filter_audit": OP12_SQL, "op13_url_filters": OP13_SQL}
