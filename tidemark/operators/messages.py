@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -218,3 +220,39 @@ def coverage(page: DataFrame, content: str, role: str) -> DataFrame:
         F.count_if(F.col(content).isNull()).alias("unreadable"),
         *[F.count_if(F.coalesce(F.col(role), F.lit("unknown")) == r).alias(f"{r}_count") for r in ("self", "other", "system", "unknown")],
     )
+
+
+def distinct_page(messages: DataFrame, size: int, identity: str, signature: Column, key: PageKey = PageKey(), before_key: tuple | None = None) -> DataFrame:  # noqa: B008
+    """The newest ``size`` distinct identities below ``before_key``, one checked row each, with has_more.
+
+    Every task keeps the newest ``size`` + 1 distinct identities of what it scans and no more, so that only
+    these, as (identity, order), are shuffled, however many rows and copies there are. The best ``size``
+    of them are then fetched with all their copies, also those outside the page's bounds, and copies that differ in
+    ``signature`` fail the query. Time bounds reach the scan. Rows come newest first.
+    """
+    rows = messages
+    if before_key is not None:
+        below = before(key.columns(), before_key)
+        rows = messages.where(F.col(key.time).isNull())
+        if before_key[0]:
+            # Undated rows are all older. Each part has a condition on the stored column, which reaches the scan; their disjunction would not.
+            rows = rows.unionByName(messages.where((F.col(key.time) <= before_key[1]) & below))
+        else:
+            rows = rows.where(below)
+    names = ["_dated", "_time", "_seq", "_kind", "_value"]
+    narrow = rows.select(F.col(identity).alias("_identity"), *[c.alias(n) for c, n in zip(key.columns(), names, strict=True)])
+
+    def newest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for frame in frames:
+            both = frame if held is None else pd.concat([held, frame])
+            held = both.sort_values(names, ascending=False, na_position="last", kind="stable").drop_duplicates("_identity").head(size + 1)
+        if held is not None:
+            yield held
+
+    best = narrow.mapInPandas(newest, narrow.schema).groupBy("_identity").agg(F.max(F.struct(*names)).alias("_at"))
+    top = best.orderBy(F.col("_at").desc()).limit(size + 1)
+    ranked = top.withColumn("_rank", F.row_number().over(Window.orderBy(F.col("_at").desc())))  # a page and one row
+    ranked = ranked.withColumn("has_more", F.max("_rank").over(Window.partitionBy()) > size).where(F.col("_rank") <= size)
+    copies = messages.join(F.broadcast(ranked.drop("_at")), F.col(identity) == F.col("_identity")).drop("_identity")  # at most ``size`` ids
+    return dedup_identities(copies, identity, signature, [key.time, key.seq, key.kind, key.value]).orderBy("_rank").drop("_rank")
