@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions import markup as M
+
 ZONE = "Asia/Shanghai"
 #: Fixed values of the message format: base types that stand for themselves.
 KNOWN_TYPES = (1, 3, 34, 42, 43, 47, 48, 49, 50, 10000)
@@ -202,56 +204,51 @@ def call_text(xml: Column) -> Column:
     return F.coalesce(said, *shown, F.when(seconds.try_cast("bigint") > 0, F.concat(F.lit("通话时长 "), seconds)))
 
 
-def resolved(xml: Column) -> Column:
-    """Text or attribute value with the named entities of XML resolved."""
-    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        xml = F.replace(xml, F.lit(entity), F.lit(sign))
-    return xml
-
+def without_speaker(value: Column, before: str) -> Column:
+    """Takes off the line that names the speaker in front of what ``before`` matches."""
+    return F.regexp_replace(value, rf"^\s*[^\s<>:]+:\s*\n(?={before})", "")
 
-def attribute(xml: Column, element: str, name: str) -> Column:
-    """The value of an element's attribute, its entities resolved."""
-    found = F.regexp_extract(xml, f'(?s)<{element}\\b[^>]*?\\b{name}\\s*=\\s*"([^"]*)"', 1)
-    return F.when(found != "", resolved(found))
 
+def location_text(value: Column) -> Column:
+    """Distinct place names, else both coordinates, else a note that there is no name; null where the body is no place.
 
-def location_text(xml: Column) -> Column:
-    """Distinct place names, else both coordinates, else a note that there is no name."""
-    names = F.array_distinct(F.array_compact(F.array(*[safe_text(attribute(xml, "location", a)) for a in ("poiname", "label")])))
-    x, y = (safe_text(attribute(xml, "location", a)) for a in ("x", "y"))
+    The place is the body's root, or the first of its kind right below a ``msg`` root.
+    """
+    doc = M.document(without_speaker(F.regexp_replace(value, _EDGES, ""), "<"))
+    place = F.coalesce(M.first(doc["location"]), M.first(M.flat(doc["msg"], "location")))
+    names = F.array_distinct(F.array_compact(F.array(*[safe_text(place[f"_{a}"]) for a in ("poiname", "label")])))
+    x, y = (safe_text(place[f"_{a}"]) for a in ("x", "y"))
     shown = F.when(F.size(names) > 0, F.array_join(names, "；")).when(x.isNotNull() & y.isNotNull(), F.concat_ws("，", x, y))
-    return F.when(xml.rlike(r"<location\b"), F.coalesce(F.concat(F.lit("位置分享："), shown), F.lit("位置分享（未提供地点名称）")))
-
-
-def element_text(xml: Column, tag: str) -> Column:
-    """As ``tag_text``, with entities resolved outside CDATA."""
-    found = tag_text(xml, tag)
-    return F.when(xml.rlike(f"(?s)<{tag}>\\s*<!\\[CDATA\\["), found).otherwise(resolved(found))
+    return F.when(place.isNotNull(), F.coalesce(F.concat(F.lit("位置分享："), shown), F.lit("位置分享（未提供地点名称）")))
 
 
 def system_text(value: Column) -> Column:
     """System notices: plain ones as they are, withdrawals as such, templates by their plain text or with their links' displays put in.
 
-    A speaker's line in front of a notice is taken off. Nothing else of a notice's markup is ever shown.
+    A speaker's line in front of a notice is taken off. A body that isn't well formed has no text, and no markup is ever shown: of an
+    element with children only the text before the first counts.
     """
-    body = F.regexp_replace(value, r"^\s*[^\s<>:]+:\s*\n(?=<sysmsg\b)", "")
+    body = without_speaker(value, r"<sysmsg\b")
     plain = F.when(~F.startswith(F.ltrim(body), F.lit("<")), safe_text(body, "\x14"))
-    withdrawn = F.when(body.rlike(r"(?s)^\s*<sysmsg\b.*<revokemsg\b"), "消息已撤回")
-    known = body.rlike("""(?s)^\\s*<sysmsg\\b[^>]*\\btype\\s*=\\s*["']sysmsgtemplate["'].*</sysmsg>\\s*$""")
-    content = F.regexp_extract(body, r"(?s)<content_template\b[^>]*>(.*?)</content_template>", 1)
-    own = F.regexp_replace(content, r"(?s)<link_list\b.*?</link_list>", "")
-    shown = F.transform(
-        F.regexp_extract_all(content, F.lit(r"(?s)<link\b[^>]*>.*?</link>"), F.lit(0)),
-        lambda link: F.struct(
-            F.concat(F.lit("$"), attribute(link, "link", "name"), F.lit("$")).alias("name"),
-            F.coalesce(*[safe_text(element_text(link, t), "\x14") for t in ("plain", "title", "nickname")]).alias("text"),
-        ),
-    )
+    doc = M.document(body)
+    notice = M.first(doc["sysmsg"])
+    template = M.first(M.flat(notice["sysmsgtemplate"], "content_template"))
+    path = "sysmsg/sysmsgtemplate/content_template"
+
+    def shown(name: str) -> Column:
+        return safe_text(M.leading_text(body, doc, M.first(template[name]), f"{path}[1]/{name}[1]"), "\x14")
+
+    def display(link: Column) -> Column:
+        nickname = M.first(M.flat(M.flat(link["memberlist"], "member"), "nickname"))
+        own = [F.substring_index(x, "<", 1) for x in (M.first(link["plain"]), M.first(link["title"]), nickname)]
+        return F.struct(F.concat(F.lit("$"), link["_name"], F.lit("$")).alias("name"), F.coalesce(*[safe_text(x, "\x14") for x in own]).alias("text"))
+
     # Of links of one name the last that has a display counts; what a display says is not looked at again.
-    links = F.reverse(F.filter(shown, lambda x: x["name"].isNotNull() & x["text"].isNotNull()))
-    pieces = F.regexp_extract_all(safe_text(element_text(own, "template"), "\x14"), F.lit(r"(?s)\$[A-Za-z_][A-Za-z0-9_]*\$|[^$]+|\$"), F.lit(0))
+    links = F.reverse(F.filter(F.transform(M.flat(template["link_list"], "link"), display), lambda x: x["name"].isNotNull() & x["text"].isNotNull()))
+    pieces = F.regexp_extract_all(shown("template"), F.lit(r"(?s)\$[A-Za-z_][A-Za-z0-9_]*\$|[^$]+|\$"), F.lit(0))
     filled = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(F.filter(links, lambda x: x["name"] == p), F.lit(1))["text"], p)), "")
-    return F.coalesce(plain, withdrawn, F.when(known, F.coalesce(safe_text(element_text(own, "plain"), "\x14"), safe_text(filled, "\x14"))))
+    withdrawn = F.when(F.size(notice["revokemsg"]) > 0, "消息已撤回")
+    return F.coalesce(plain, withdrawn, F.when(notice["_type"] == "sysmsgtemplate", F.coalesce(shown("plain"), safe_text(filled, "\x14"))))
 
 
 def message_text(content: Column, kind: Column) -> Column:

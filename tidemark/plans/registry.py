@@ -527,3 +527,6 @@ def own_bubbles(spark, sf_dir):
 def best_candidates(spark, sf_dir):
     e = t(spark, sf_dir, "events").select("user_id", (F.col("value") > 50).alias("success"), F.col("event_type").alias("result"), F.col("event_id").alias("finished"))
     return W.best_candidates(e, "user_id")
+
+
+from tidemark.plans import extended  # noqa: E402, F401  registers more queries
