@@ -35,10 +35,11 @@ def test_long_lists_of_lines(spark):
 
 
 def test_clashing_names(spark):
-    d = docs(spark, ["good text here", "bad bad bad", "x"]).withColumns({c: F.lit(1) for c in ("_id", "_y", "_gone", "_gone_id", "lines", "id", "row")})
+    d = docs(spark, ["good text here", "bad bad bad", "x"]).withColumns({c: F.lit(1) for c in ("_id", "_y", "_gone", "_gone_id", "lines", "id", "row", "_whole_text", "_WHOLE_TEXT_")})
     labels = spark.createDataFrame([(0, 1, 0), (1, 0, 1)], "doc_id long, quality int, toxic int")
     assert quality.score(d, quality.train(d, labels, F.lit(True))).count() == 3
     assert toxicity.score(d, toxicity.train(d, labels, F.lit(True))).count() == 3
+    assert secrets.scan(d, secrets.MarkovModels([0] * secrets.SIGNS**2)).count() == 3
     out = line_dedup.dedup_lines(d.unionByName(d.withColumn("doc_id", F.col("doc_id") + 10)))
     assert sorted(r["doc_id"] for r in out.collect()) == [0, 1, 2] and out.columns == d.columns
 

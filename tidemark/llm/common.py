@@ -65,6 +65,14 @@ def crc_fold(doc_id: str | Column, folds: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % folds
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, made longer until no column of ``df`` has that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def sample_order(doc_id: str = "doc_id") -> Column:
     """A fixed pseudo-random order of ids, for bounded samples that don't depend on the partitioning."""
     return F.xxhash64(F.col(doc_id), F.lit("sample"))

@@ -400,7 +400,8 @@ def repeated_lines(docs: DataFrame, least_tokens: int = 1, tag: str = "lines") -
 
     Lines are compared as sets of lower-cased words between ASCII white space, if they have
     ``least_tokens`` distinct ones. A line goes if any earlier line, by doc_id and then place in the
-    text, has Jaccard 0.8 or more with it, itself removed or not; the match is one such line. Equal
+    text, has Jaccard 0.8 or more with it, itself removed or not; the match is one such line, and which
+    one depends on how the rows are dealt. Equal
     sets collapse first. Others meet by the prefix filter (rarest tokens first, keyed by neighbouring
     pairs), the length, positional and signature filters, and an exact check. A list's sets are tried
     against its first set; those that can't be similar to it, or fail, against the nearest others by

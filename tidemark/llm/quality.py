@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import sample_order
+from tidemark.llm.common import free_name, sample_order
 from tidemark.llm.linear import byte_ngrams, fit_hinge, fit_sigmoid, sigmoid, stretches
 
 CHAR_DIMS, CLASS_DIMS, RUNS = 1 << 16, 1 << 14, 16
@@ -134,7 +134,7 @@ def score(docs: DataFrame, model: QualityModel, keep: list[str] | None = None) -
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score",)]
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # DIMS weights
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_whole_text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias(free_name(docs, "_whole_text")))
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

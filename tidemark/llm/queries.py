@@ -74,7 +74,8 @@ def op5_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.repeated_lines(table(spark, sf_dir, "documents"), least_tokens=1)
+    # Which of several similar earlier lines a line is matched with depends on how the rows are dealt; that it repeats one does not.
+    return line_dedup.repeated_lines(table(spark, sf_dir, "documents"), least_tokens=1).select("doc_id", "line_no")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,12 +159,7 @@ OP13_SQL = r"""
 WITH RECURSIVE u AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path,
-         list_distinct(list_transform(regexp_extract_all(coalesce(html, ''), '<[aA](?:[rR][eE][aA])?[ 	
-][^<>]*?[hH][rR][eE][fF][ 	
-]*=[ 	
-]*["'']?[ 	
-]*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#"''<> 	
-]*)', 1),
+         list_distinct(list_transform(regexp_extract_all(coalesce(html, ''), '@LINK@', 1),
            lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS targets
   FROM pages
 ), p AS (
@@ -194,7 +190,7 @@ WITH RECURSIVE u AS (
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN distrust > CAST(0.5 AS DOUBLE) * (trust + distrust) THEN 'block' ELSE 'allow' END) AS verdict,
        CAST(coalesce(trust, 0) AS DOUBLE) / 1073741824 AS trust, CAST(coalesce(distrust, 0) AS DOUBLE) / 1073741824 AS distrust
 FROM q LEFT JOIN ranks ON host = node
-"""
+""".replace("@LINK@", url_filters.LINK_HOST.replace("'", "''"))
 
 QUERIES = {
     "op1_secrets": op1_secrets,

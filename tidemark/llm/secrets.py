@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, sample_order
+from tidemark.llm.common import free_name, materialize, sample_order
 
 ASSIGN = (
     "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -177,15 +177,15 @@ def scan(docs: DataFrame, models: MarkovModels, least_signs: int = 16, least_rat
     span, rows that repeat are scanned each, an empty table gives none; an input column named base or markov is replaced. Only built-in functions are used, in one pass without a shuffle.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("base", "markov")]
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text, text_name = F.coalesce(F.col("text"), F.lit("")), free_name(docs, "_whole_text")
     quick = {"assign": text.rlike("[:=]\\x20*[\"']?[A-Za-z0-9+/_.=-]{6}"), "access": F.contains(text, F.lit("AKIA")), "hex": text.rlike("[0-9a-f]{24}")}
     spans = None
     for pos, (kind, pattern, group, least) in enumerate(RULES):
         own = tagged(matches(text, pattern, group, least, quick[kind]), pos, kind)
         spans = own if spans is None else F.concat(spans, own)
     # Spans come out of generators, so that they are found once and not again for each use.
-    based = docs.select(*[F.col(f"`{c}`") for c in keep], text.alias("_whole_text"), F.inline(F.array(F.struct(F.array_sort(spans).alias("base")))))
-    whole = F.col("_whole_text")
+    based = docs.select(*[F.col(f"`{c}`") for c in keep], text.alias(text_name), F.inline(F.array(F.struct(F.array_sort(spans).alias("base")))))
+    whole = F.col(text_name)
     candidate = f"{CANDIDATE}{{{least_signs},}}"
     found = matches(whole, candidate, 0, least_signs, whole.rlike(candidate))
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import materialize, sample_order
+from tidemark.llm.common import free_name, materialize, sample_order
 from tidemark.llm.linear import fit_sigmoid, sigmoid
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -413,7 +413,7 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None)
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "evidence", "terms")]
     shipped, a, b = model.broadcast(docs.sparkSession), model.a, model.b
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_whole_text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias(free_name(docs, "_whole_text")))
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("score", "double").add("evidence", T.ArrayType(T.LongType())).add("terms", T.ArrayType(T.StringType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
