@@ -40,6 +40,13 @@ def document(xml: Column) -> Column:
     return F.when(found["_corrupt"].isNull() & (elements == 1) & ~beside, found)
 
 
+def one_element(xml: Column) -> Column:
+    """The text itself if it is one well-formed element of any name, else null."""
+    found = F.from_xml(wrapped(xml), "_VALUE string, xs_any array<string>, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    whole = found["_corrupt"].isNull() & (F.size(found["xs_any"]) == 1) & F.coalesce(F.trim(found["_VALUE"]) == "", F.lit(True))
+    return F.when(whole, xml)
+
+
 def leading_text(xml: Column, parsed: Column, value: Column, path: str) -> Column:
     """The text of an element before its first child: ``value``, unless that holds a sign of markup; then what is at ``path``."""
     inside = F.xpath_string(F.when(parsed.isNotNull() & F.contains(value, F.lit("<")), wrapped(xml)).otherwise(F.lit(f"<{_AROUND}/>")), F.lit(f"/{_AROUND}/{path}/node()[1][self::text()]"))

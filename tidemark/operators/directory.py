@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import markup as M
 from tidemark.functions import scalar as S
 from tidemark.functions.decode import loose_name, loosen_name, normalized_name, similarity
 from tidemark.operators.messages import dedup_identities
@@ -187,25 +188,45 @@ def candidates(matches: DataFrame, top: int = 20) -> DataFrame:
     return matches.orderBy(F.coalesce(S.known_time(F.col("last_timestamp")), F.lit(0)).desc(), "native_id").limit(top).crossJoin(F.broadcast(total))
 
 
+_POST_MEDIA = "array<struct<type:array<string>,id:array<string>,size:array<struct<_totalSize:string>>,url:array<struct<_md5:string,_VALUE:string>>>>"
+_POST = (
+    "TimelineObject array<struct<id:array<string>,username:array<string>,createTime:array<string>,contentDesc:array<string>,"
+    f"ContentObject:array<struct<type:array<string>,title:array<string>,description:array<string>,mediaList:array<struct<media:{_POST_MEDIA}>>>>>>, "
+    "LocalExtraInfo array<struct<nickname:array<string>>>, _corrupt string"
+)
+
+
 def moments(raw: DataFrame) -> DataFrame:
-    """Feed posts from their XML: (moment_id, author, nickname, created, text, kind, media_urls, media_md5).
+    """Feed posts from their XML: (moment_id, author, nickname, compared_time, created, text, kind, title, description, media_urls, media_md5, gap, tid).
 
-    A time of 0 is shown as null; an address element without a checksum declares an empty one.
+    A time of 0 is shown as null; an address element without a checksum declares an empty one. A body that isn't one well-formed
+    element has the gap moment_xml_unreadable, one without a post moment_timeline_missing; both have no author, and ``feed`` leaves them out.
     """
     x = F.col("content")
-    media = F.regexp_extract_all(x, F.lit(r"(?s)<media>.*?</media>"), F.lit(0))
-    url_tag = r"(?s)<url\b[^>]*>"
-    created = S.tag_text(x, "createTime").try_cast("bigint")
-    return raw.select(
-        F.coalesce(S.tag_text(x, "id"), F.col("tid").cast("string")).alias("moment_id"),
-        F.coalesce(S.tag_text(x, "username"), F.col("user_name")).alias("author"),
-        S.tag_text(x, "nickname").alias("nickname"),
+    doc = F.from_xml(M.one_element(x), _POST, {"columnNameOfCorruptRecord": "_corrupt"})
+    post = M.first(doc["TimelineObject"])
+    content = M.first(post["ContentObject"])
+
+    def said(value: Column) -> Column:
+        return S.blank_to_null(M.first(value))
+
+    created = said(post["createTime"]).try_cast("bigint")
+    media = F.coalesce(M.flat(content["mediaList"], "media"), F.array().cast(_POST_MEDIA))
+    rows = raw.withColumn("_readable", M.one_element(x).isNotNull())
+    gap = F.when(~F.coalesce("_readable", F.lit(False)), "moment_xml_unreadable").when(F.coalesce(F.size(doc["TimelineObject"]), F.lit(0)) < 1, "moment_timeline_missing")
+    return rows.select(
+        F.coalesce(said(post["id"]), F.col("tid").cast("string")).alias("moment_id"),
+        F.when(gap.isNull(), F.coalesce(said(post["username"]), F.col("user_name"))).alias("author"),
+        said(M.flat(doc["LocalExtraInfo"], "nickname")).alias("nickname"),
         F.coalesce(created, F.lit(0)).alias("compared_time"),
         S.known_time(created).alias("created"),
-        S.safe_text(S.tag_text(x, "contentDesc")).alias("text"),
-        S.tag_text(x, "type").try_cast("int").alias("kind"),
-        F.transform(media, lambda m: F.regexp_extract(m, r"(?s)<url\b[^>]*>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</url>", 1)).alias("media_urls"),
-        F.transform(media, lambda m: F.when(m.rlike(url_tag), F.regexp_extract(m, r'(?s)<url\b[^>]*?\bmd5="([^"]*)"', 1))).alias("media_md5"),
+        S.safe_text(M.first(post["contentDesc"])).alias("text"),
+        said(content["type"]).try_cast("int").alias("kind"),
+        said(content["title"]).alias("title"),
+        said(content["description"]).alias("description"),
+        F.transform(media, lambda m: F.coalesce(F.trim(M.first(m["url"])["_VALUE"]), F.lit(""))).alias("media_urls"),
+        F.transform(media, lambda m: F.when(F.size(m["url"]) > 0, F.coalesce(M.first(m["url"])["_md5"], F.lit("")))).alias("media_md5"),
+        gap.alias("gap"),
         F.col("tid"),
     )
 
@@ -214,7 +235,7 @@ def feed(raw: DataFrame, author: str | None = None, since: int | None = None, un
     """The newest posts in a window. Without an author only a bounded number of rows by row id is looked at, which is part of the result's meaning."""
     limit = min(max(limit, 1), 50)
     rows = raw if author is not None else raw.orderBy(F.desc("tid")).limit(min(max(8 * limit, 100), 500))
-    posts = moments(rows)
+    posts = moments(rows).where("gap is null")
     if author is not None:
         posts = posts.where(F.col("author") == author)
     if since is not None:

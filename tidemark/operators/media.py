@@ -31,9 +31,7 @@ _ROOT = f"{_ATTRIBUTES.replace(':', ' ').replace(',', ', ')}, {', '.join(x.repla
 def markup_of(body: Column) -> Column:
     """A body from its first ``<`` on, without NULs, if it is one well-formed element; else null."""
     xml = F.replace(F.substring(body, F.locate("<", body), F.char_length(body)), F.lit("\0"), F.lit(""))
-    found = F.from_xml(M.wrapped(xml), "_VALUE string, xs_any array<string>, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
-    whole = found["_corrupt"].isNull() & (F.size(found["xs_any"]) == 1) & F.coalesce(F.trim(found["_VALUE"]) == "", F.lit(True))
-    return F.when((F.locate("<", body) > 0) & whole, xml)
+    return F.when(F.locate("<", body) > 0, M.one_element(xml))
 
 
 def _node(xml: Column, tag: str) -> Column:

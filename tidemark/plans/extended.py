@@ -196,6 +196,26 @@ def stored_copies(spark, sf_dir):
     return X.hardlink_paths(links, dirs, files).where("rank = 1").select("md5", "path", "quality", "bytes")
 
 
+@query(
+    f"""SELECT CASE WHEN page_id % 10 < 2 THEN CAST(page_id AS VARCHAR) ELSE 'p' || page_id END AS moment_id, CASE WHEN page_id % 10 >= 2 THEN url END AS author, CASE WHEN page_id % 10 >= 1 THEN 'n & ' || page_id END AS nickname,
+      CASE WHEN page_id % 10 >= 2 AND page_id % 3 <> 0 THEN page_id * 100 END AS created, CASE WHEN page_id % 10 >= 2 THEN {READABLE.replace('text', 'html')} END AS text,
+      CASE WHEN page_id % 10 >= 2 THEN url || '|' ELSE '' END AS urls, CASE WHEN page_id % 10 >= 2 THEN md5(url) || '|none' ELSE '' END AS sums,
+      CASE page_id % 10 WHEN 0 THEN 'moment_xml_unreadable' WHEN 1 THEN 'moment_timeline_missing' END AS gap FROM pages"""
+)
+def feed_posts(spark, sf_dir):
+    """Pages as feed posts: XML around their whole texts, some of it broken, some without a post."""
+    key, url = F.col("page_id"), S.html_escape(F.col("url"))
+    post = F.concat(
+        F.lit("<TimelineObject><id>p"), key.cast("string"), F.lit("</id><username>"), url, F.lit("</username><createTime> "), F.when(key % 3 != 0, key * 100).otherwise(0).cast("string"), F.lit(" </createTime><contentDesc>"),
+        S.html_escape(F.col("html")), F.lit("</contentDesc><ContentObject><type>1</type><mediaList><media><url type='1' md5='"), F.md5(F.col("url").cast("binary")), F.lit("'>"), url, F.lit("</url></media><media><id>2</id></media></mediaList></ContentObject></TimelineObject>"),
+    )
+    nick = F.concat(F.lit("<LocalExtraInfo><nickname>n &#38; "), key.cast("string"), F.lit("</nickname></LocalExtraInfo>"))
+    body = F.concat(F.lit("<SnsDataItem>"), F.when(key % 10 == 0, F.lit("<open>")).when(key % 10 == 1, F.lit("")).otherwise(post), nick, F.lit("</SnsDataItem>"))
+    rows = t(spark, sf_dir, "pages").select(key.alias("tid"), F.lit("owner").alias("user_name"), body.alias("content"))
+    sums = F.array_join(F.transform("media_md5", lambda m: F.coalesce(m, F.lit("none"))), "|")
+    return D.moments(rows).select("moment_id", "author", "nickname", "created", "text", F.array_join("media_urls", "|").alias("urls"), sums.alias("sums"), "gap")
+
+
 # Filters and joins that stand alone ---------------------------------------------------------------------
 @query(f"WITH {EV} SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN create_time END AS create_time FROM e WHERE event_id % 3 = 0 OR create_time <= {UNTIL}")
 def until_or_undated(spark, sf_dir):
