@@ -48,3 +48,18 @@ def test_a_failed_task_leaves_nothing(spark, tmp_path):
         time.sleep(0.5)
     assert objects(root) == there
     assert bundles.write_bundle(spark, files(spark, ("a", b"1"), ("b", b"2")), root) == {"files": 2, "written": 1, "reused": 1}
+
+
+def test_json_lines_appear_whole(spark, tmp_path):
+    from tidemark.operators import archive as A
+
+    target = str(tmp_path / "out")
+    A.write_jsonl(spark.createDataFrame([(1, "é" + chr(0x2028)), (2, None)], "b int, a string").coalesce(1), target)
+    read = lambda: sorted(x for p in Path(target).glob("part-*") for x in p.read_text().splitlines())
+    first = read()
+    assert first == ['{"a":"é\\u2028","b":1}', '{"a":null,"b":2}']
+    with pytest.raises(Exception):
+        A.write_jsonl(spark.range(1).select(F.raise_error(F.lit("no")).cast("string").alias("x")), target)
+    assert read() == first and [p.name for p in tmp_path.iterdir()] == ["out"]
+    A.write_jsonl(spark.range(1), target)
+    assert read() == ['{"id":0}']

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
+from tidemark.sources.stores import Store
 
 OVERLAP, MOST_OVERLAP = 86_400, 31 * 86_400
 
@@ -297,3 +298,34 @@ def fitted(render: Callable[[int], str], limit: int, most_bytes: int) -> str:
         if len(out.encode()) <= most_bytes or limit <= 1:
             return out
         limit //= 2
+
+
+def largest_archive(archives: DataFrame, key: str, size: str, path: str = "path") -> DataFrame:
+    """Of each key's archives the one with most in it; of several the one whose path comes first."""
+    rest = [c for c in archives.columns if c != key]
+    return archives.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct((-F.col(size)).alias("_s"), F.col(path).alias("_p"))).alias("a")).select(key, "a.*")
+
+
+def by_completion(candidates: DataFrame, key: str, finished: str = "finished") -> DataFrame:
+    """Adds ``nth``: the place of each candidate of a key in the order in which they finished; unfinished ones have none."""
+    done = F.col(finished).isNotNull()
+    w = Window.partitionBy(key, done).orderBy(F.col(finished))
+    return candidates.withColumn("nth", F.when(done, F.row_number().over(w)))
+
+
+def write_jsonl(rows: DataFrame, target: str) -> None:
+    """Writes JSON lines as a folder that appears whole: the parts go to a folder of another name, which then takes its own.
+
+    An older folder of that name is replaced; a write that fails leaves it as it was.
+    """
+    store = Store(rows.sparkSession, target.rstrip("/").rsplit("/", 1)[0])
+    name = target.rstrip("/").rsplit("/", 1)[1]
+    draft = f"_{name}-{uuid.uuid4().hex}"
+    try:
+        rows.select(S.canonical_json(*rows.columns).alias("value")).write.text(f"{store.root}/{draft}")
+        if store.exists(name):
+            store.delete(name)
+        if not store.move(draft, name):
+            raise OSError(f"{target} could not be published")
+    finally:
+        store.delete(draft)

@@ -248,3 +248,53 @@ def downgraded_attribution(spark, sf_dir):
     role = F.when(F.col("n_chars") % 3 == 0, "self").when(F.col("n_chars") % 3 == 1, "other").otherwise("system")
     rows = t(spark, sf_dir, "documents").select("doc_id", role.alias("sender_role"), F.col("source").alias("sender_username"))
     return A.downgraded(rows, t(spark, sf_dir, "labels"), "doc_id").select("doc_id", "sender_role")
+
+
+@query(
+    f"""WITH {EV}, m AS (SELECT event_id, user_id % 3 AS shard, CASE WHEN event_id % 4 = 0 AND user_id % 3 <> 1 THEN 5 ELSE user_id END AS sender, CASE event_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 4 WHEN 2 THEN 0 ELSE 9 END AS status FROM e),
+    c AS (SELECT shard, CASE WHEN min(sender) = max(sender) THEN min(sender) END AS own FROM m WHERE status = 2 AND sender > 0 GROUP BY shard)
+    SELECT event_id, CASE WHEN status = 2 THEN 'self' WHEN status = 4 THEN 'other' WHEN status = 0 AND own IS NOT NULL AND sender > 0 THEN CASE WHEN sender = own THEN 'self' ELSE 'other' END ELSE 'unknown' END AS sender_role
+    FROM m LEFT JOIN c USING (shard)"""
+)
+def sender_roles(spark, sf_dir):
+    """Roles by status, and by the one sender that a shard's outgoing rows have; a shard with several proves nothing."""
+    key, user = F.col("event_id"), F.col("user_id")
+    status = F.when(key % 4 == 0, 2).when(key % 4 == 1, 4).when(key % 4 == 2, 0).otherwise(9)
+    sender = F.when((key % 4 == 0) & (user % 3 != 1), 5).otherwise(user)
+    rows = events(spark, sf_dir).select("event_id", (user % 3).alias("shard"), F.lit("s").alias("session_id"), F.lit(1).cast("bigint").alias("local_type"), status.alias("status"), sender.cast("bigint").alias("real_sender_id"))
+    names = rows.select("shard", F.col("real_sender_id").alias("sender_id"), F.concat(F.lit("u"), F.col("real_sender_id").cast("string")).alias("user_name")).distinct()
+    return M.with_roles(rows, names, None).select("event_id", "sender_role")
+
+
+@query(
+    r"""SELECT doc_id, '> ' || source || '：' || CASE WHEN length(flat) > 240 THEN substr(flat, 1, 239) || '…' ELSE flat END AS line
+    FROM (SELECT doc_id, source, regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g') AS flat FROM documents)"""
+)
+def quote_lines(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", S.quote_line(F.col("source"), F.col("text")).alias("line"))
+
+
+@query("SELECT page_id, sha256(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')) AS escaped FROM pages")
+def escaped_pages(spark, sf_dir):
+    return t(spark, sf_dir, "pages").select("page_id", F.sha2(S.html_escape(F.col("html")), 256).alias("escaped"))
+
+
+@query(r"SELECT c_custkey, regexp_replace(c_name || CASE WHEN c_custkey % 2 = 0 THEN '_1aF' || (c_custkey % 10) ELSE '' END, '^(.+)_[0-9a-fA-F]{4}$', '\1') AS native_id FROM customer")
+def storage_names(spark, sf_dir):
+    named = F.concat("c_name", F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("_1aF"), (F.col("c_custkey") % 10).cast("string"))).otherwise(""))
+    return t(spark, sf_dir, "customer").select("c_custkey", S.without_storage_suffix(named).alias("native_id"))
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, CAST(o_orderkey AS VARCHAR)) AS r FROM orders) WHERE r = 1")
+def largest_archives(spark, sf_dir):
+    o = t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", F.col("o_orderkey").cast("string").alias("path"))
+    return A.largest_archive(o, "o_custkey", "o_totalprice").drop("path")
+
+
+@query(
+    """SELECT l_orderkey, l_partkey, l_shipdate, CASE WHEN l_shipdate IS NOT NULL THEN rank() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate) END AS nth
+    FROM (SELECT l_orderkey, min(l_partkey) AS l_partkey, l_shipdate FROM lineitem GROUP BY l_orderkey, l_shipdate)"""
+)
+def completion_order(spark, sf_dir):
+    rows = t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_shipdate").agg(F.min("l_partkey").alias("l_partkey"))
+    return A.by_completion(rows, "l_orderkey", "l_shipdate").withColumn("nth", F.col("nth").cast("bigint"))

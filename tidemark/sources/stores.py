@@ -58,3 +58,6 @@ class Store:
 
     def delete(self, name: str = "") -> None:
         self.files.delete(self._path(name), True)
+
+    def move(self, name: str, to: str) -> bool:
+        return bool(self.files.rename(self._path(name), self._path(to)))
