@@ -1,4 +1,8 @@
-"""Corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next."""
+"""Corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
+
+Lines and documents are told apart by doc_id: rows without an id, and rows that repeat one, are not compared with each
+other and all stay, in every stage. Null and empty texts go in the first stage, as their language can't be told; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 

@@ -125,3 +125,17 @@ def test_keyset_reaches_the_scan(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet").where(M.before([F.col("user_id"), F.col("event_id")], (40, 500)))
     plan = e._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [" in plan and "LessThan(user_id,40)" in plan.partition("PushedFilters")[2]
+
+
+def test_tail_is_limited_before_the_shuffle(spark):
+    df = spark.createDataFrame([("a", i, None) for i in range(9)] + [("b", None, 1), ("b", 3, 2)], "k string, t int, x int").repartition(3)
+    out = M.tail(df, 2, [F.col("t")], ["k"])
+    assert sorted((r["k"], r["t"] or -1) for r in out.collect()) == [("a", 7), ("a", 8), ("b", -1), ("b", 3)]
+    assert out._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2
+
+
+def test_quotes_of_a_repeated_id(spark):
+    df = spark.createDataFrame([(1, None, "b"), (1, None, "a"), (2, 1, "r")], "id long, quoted long, text string")
+    for parts in (1, 3):
+        got = M.attach_quotes(df, "quoted", df.repartition(parts), "id", ["text"]).where("id = 2").collect()
+        assert [r["quoted_text"] for r in got] == ["a"]

@@ -138,6 +138,12 @@ def anchored(messages: DataFrame, size: int, order: list[Column], *, anchor: Col
     return rows.where(F.col("rn").between(first, last)).drop("_n")
 
 
+def tail(messages: DataFrame, size: int, order: list[Column], partition: list[str]) -> DataFrame:
+    """The last ``size`` rows of each partition. Every task keeps as many of a partition before the shuffle, so one large partition does no harm."""
+    w = Window.partitionBy(*partition).orderBy(*[c.desc_nulls_last() for c in order])
+    return messages.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= size).drop("_r")
+
+
 def dedup_identities(messages: DataFrame, identity: str, signature: Column, order: list[str]) -> DataFrame:
     """One row per identity, the least by ``order``; copies that differ in ``signature`` fail the query."""
     return conflicts_marked(messages, identity, signature, order).where(F.when(F.col("signatures") == 1, True).otherwise(F.raise_error(F.lit("message_identity_is_conflicting")).cast("boolean"))).drop("signatures")
@@ -181,8 +187,11 @@ def with_roles(messages: DataFrame, names: DataFrame, owner_sha256: str | None,
 
 
 def attach_quotes(page: DataFrame, quoted: str, targets: DataFrame, ident: str, columns: list[str]) -> DataFrame:
-    """Left self-join of replies with what they quote: columns as quoted_<c>, and a gap where the target is missing."""
-    t = targets.select(F.col(ident).alias("_target"), *[F.col(c).alias(f"quoted_{c}") for c in columns]).dropDuplicates(["_target"])
+    """Left self-join of replies with what they quote: columns as quoted_<c>, and a gap where the target is missing.
+
+    Of rows that repeat an id the least by the columns stands for it.
+    """
+    t = targets.groupBy(F.col(ident).alias("_target")).agg(F.min(F.struct(*[F.col(c).alias(f"quoted_{c}") for c in columns])).alias("_q")).select("_target", "_q.*")
     out = page.join(t, F.col(quoted) == F.col("_target"), "left")
     return out.withColumn("quote_gap", F.when(F.col(quoted).isNotNull() & F.col("_target").isNull(), "quote_target_missing")).drop("_target")
 

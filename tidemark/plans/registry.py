@@ -101,7 +101,7 @@ def anchored_frame_time(spark, sf_dir):
 
 @query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 3")
 def tail_per_session(spark, sf_dir):
-    return M.anchored(t(spark, sf_dir, "conversations"), 3, [F.col("turn")], partition=["conv_id"]).select("conv_id", "turn", "role")
+    return M.tail(t(spark, sf_dir, "conversations"), 3, [F.col("turn")], ["conv_id"]).select("conv_id", "turn", "role")
 
 
 def two_shards(spark, sf_dir, changed: str):
