@@ -80,3 +80,20 @@ def test_changes_keep_unknown_and_later(spark):
     people_ = D.contacts(spark.createDataFrame([("a", "A")], "username string, nick_name string").withColumn("source_rank", F.lit(0)), known)
     out = {r["username"]: (r["state"], r["display_name"]) for r in D.changed_sessions(known, people_, 100, 200).collect()}
     assert out == {"a": ("changed", "A"), "b": ("unknown", "b"), "c": ("after_until", "c")}
+
+
+def test_resolution_never_picks(spark):
+    columns = "account string, native_id string, display_name string, remark string, nickname string, alias string, last_timestamp long"
+    rows = [("a", f"u{i}", "Ann", None, "Ann", None, i) for i in range(25)] + [("a", "ann", "Other", None, "Other", None, 3), ("a", "solo", "Solo", None, "Solo", None, 1)]
+    p = spark.createDataFrame(rows, columns).coalesce(2)
+
+    def came_to(query, **more):
+        return D.resolution(D.resolve(p, query, **more), D.suggestions(p, query)).orderBy("rank").collect()
+
+    many = came_to("ANN")
+    assert {r["status"] for r in many} == {"needs_choice"} and len(many) == 20 and many[0]["candidate_total"] == 26 and many[0]["native_id"] == "u24" and many[0]["match_kind"] == "exact"
+    assert [(r["status"], r["native_id"]) for r in came_to("ANN", prefer_native_id=True)] == [("resolved", "ann")]
+    assert [(r["status"], r["native_id"], r["candidate_total"]) for r in came_to("Solo")] == [("resolved", "solo", None)]
+    near = came_to("Sol0")
+    assert (near[0]["status"], near[0]["native_id"], near[0]["similarity"]) == ("not_found", "solo", 0.75) and near[0]["match_kind"] is None
+    assert [(r["status"], r["rank"], r["native_id"]) for r in came_to("zzzzzz")] == [("not_found", 0, None)]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import markup as M
 from tidemark.functions import scalar as S
-from tidemark.functions.decode import loose_name, loosen_name, normalized_name, similarity
+from tidemark.functions.decode import fold_name, loose_name, loosen_name, normalized_name, similarity
 from tidemark.operators.messages import dedup_identities
 from tidemark.schema import OPTIONAL_LABELS, OPTIONAL_SESSION, require, with_optional
 
@@ -141,16 +141,16 @@ def remove_alias(aliases: DataFrame, name: str, account: str | None = None) -> D
     return aliases.where(~(same & (F.col("account") == account if account else F.lit(True))))
 
 
-def resolve(people: DataFrame, query: str, aliases: DataFrame | None = None, members: DataFrame | None = None, chat_type: str | None = None, allow_partial: bool = False) -> DataFrame:
+def resolve(people: DataFrame, query: str, aliases: DataFrame | None = None, members: DataFrame | None = None, chat_type: str | None = None, allow_partial: bool = False, prefer_native_id: bool = False) -> DataFrame:
     """The candidates of the first layer that has any: alias, exact, loose, partial, group member.
 
     people: account, native_id, display_name, remark, nickname, alias, last_timestamp. Layers merge all
     accounts. Partial and member layers need ``allow_partial`` and two loose signs; private chats
     have no member layer. Several alias hits without a chat type mean the private one if
-    there is just one. The caller decides on ambiguity; nothing is picked here.
+    there is just one. With ``prefer_native_id`` an exact native id hides other exact names. The caller decides on ambiguity (see ``resolution``); nothing is picked here.
     """
     rows = of_chat_type(people, chat_type)
-    norm, loose = normalized_name(F.lit(query)), loose_name(F.lit(query))
+    norm, loose = F.lit(fold_name(query)), F.lit(loosen_name(query))
     labels = ("remark", "nickname", "alias")
     folded = rows.withColumns({f"_{c}": loose_name(F.col(c)) for c in labels} | {f"_n{c}": normalized_name(F.col(c)) for c in (*labels, "native_id", "display_name")} | {"_q": norm, "_lq": loose})
     names = F.array_compact(F.array(*[F.when(F.col(f"_{c}") != "", F.col(f"_{c}")) for c in labels]))
@@ -158,7 +158,7 @@ def resolve(people: DataFrame, query: str, aliases: DataFrame | None = None, mem
     long_enough = F.lit(allow_partial) & (F.char_length("_lq") >= 2)
     layer = F.when(exact, 1).when((F.col("_lq") != "") & F.array_contains(names, F.col("_lq")), 2).when(long_enough & F.exists(names, lambda n: F.contains(n, F.col("_lq"))), 3)
     if aliases is not None:
-        hit = aliases.withColumn("_an", loose_name("name")).where(F.col("_an") == loose_name(F.lit(query))).select(F.col("account").alias("_aa"), F.col("nativeId").alias("_ai")).distinct()
+        hit = aliases.withColumn("_an", loose_name("name")).where(F.col("_an") == loose).select(F.col("account").alias("_aa"), F.col("nativeId").alias("_ai")).distinct()
         folded = folded.join(hit, (F.col("account") == F.col("_aa")) & (F.col("native_id") == F.col("_ai")), "left")
         layer = F.when(F.col("_ai").isNotNull(), 0).otherwise(layer)
     if members is not None and chat_type != "private":
@@ -167,11 +167,16 @@ def resolve(people: DataFrame, query: str, aliases: DataFrame | None = None, mem
         folded = folded.join(found.select(F.col("room").alias("_room")).distinct(), F.col("native_id") == F.col("_room"), "left")
         layer = F.coalesce(layer, F.when(long_enough & F.col("_room").isNotNull(), 4))
     ranked = folded.withColumn("layer", layer).where("layer is not null")
-    first = ranked.withColumn("_first", F.min("layer").over(Window.partitionBy())).where("layer = _first")
-    private = F.sum(F.when(S.session_type(F.col("native_id")) != "group", 1).otherwise(0)).over(Window.partitionBy())
-    first = first.withColumn("_private", private)
+    if prefer_native_id:
+        ranked = ranked.withColumn("_by_id", (F.col("layer") == 1) & (F.col("_nnative_id") == F.col("_q")))
+    else:
+        ranked = ranked.withColumn("_by_id", F.lit(False))
+    is_private = S.session_type(F.col("native_id")) != "group"
+    layers = ranked.groupBy(F.col("layer").alias("_first")).agg(F.count_if(is_private).alias("_private"), F.max("_by_id").alias("_ids"))  # five rows at most
+    best = layers.agg(F.min_by(F.struct("_first", "_private", "_ids"), "_first").alias("_b")).select("_b.*")
+    first = ranked.crossJoin(F.broadcast(best)).where((F.col("layer") == F.col("_first")) & (~F.col("_ids") | F.col("_by_id")))
     if chat_type is None:
-        first = first.where((F.col("layer") != 0) | (F.col("_private") != 1) | (S.session_type(F.col("native_id")) != "group"))
+        first = first.where((F.col("layer") != 0) | (F.col("_private") != 1) | is_private)
     kind = F.element_at(F.array(*[F.lit(k) for k in ("alias", "exact", "loose", "partial_name", "group_member")]), F.col("layer") + 1)
     return first.select(*people.columns, kind.alias("match_kind"))
 
@@ -188,6 +193,31 @@ def candidates(matches: DataFrame, top: int = 20) -> DataFrame:
     return matches.orderBy(F.coalesce(S.known_time(F.col("last_timestamp")), F.lit(0)).desc(), "native_id").limit(top).crossJoin(F.broadcast(total))
 
 
+def resolution(matches: DataFrame, offered: DataFrame, top: int = 20) -> DataFrame:
+    """What a name came to, as rows (status, rank, columns of ``matches``, similarity, candidate_total).
+
+    resolved: the only match. needs_choice: the most recent ``top`` of several matches, none of which is picked, with their number where there are more.
+    not_found: the rows of ``offered`` (``suggestions``), or one row that says so where there are none.
+    """
+    spark, columns = matches.sparkSession, matches.columns
+    total = matches.limit(top + 1).count()
+    recent = F.coalesce(S.known_time(F.col("last_timestamp")), F.lit(0))
+    no_total, no_similarity = F.lit(None).cast("bigint").alias("candidate_total"), F.lit(None).cast("double").alias("similarity")
+    if total:
+        said = F.lit("resolved" if total == 1 else "needs_choice").alias("status")
+        rows = matches.orderBy(recent.desc(), "native_id").limit(top)
+        order = Window.orderBy(recent.desc(), "native_id")  # at most ``top`` rows
+        counted = matches.agg(F.count(F.lit(1)).alias("candidate_total")) if total > top else spark.range(1).select(no_total)
+        return rows.crossJoin(F.broadcast(counted)).select(said, F.row_number().over(order).alias("rank"), *columns, no_similarity, "candidate_total")
+    order = Window.orderBy(F.desc("similarity"), recent.desc(), "native_id")  # a few suggestions
+    kinds = {f.name: f.dataType for f in matches.schema}
+    own = [F.col(c) if c in offered.columns else F.lit(None).cast(kinds[c]).alias(c) for c in columns]
+    rows = offered.select(F.lit("not_found").alias("status"), F.row_number().over(order).alias("rank"), *own, "similarity", no_total)
+    if rows.isEmpty():
+        return spark.range(1).select(F.lit("not_found").alias("status"), F.lit(0).alias("rank"), *[F.lit(None).cast(kinds[c]).alias(c) for c in columns], no_similarity, no_total)
+    return rows
+
+
 _POST_MEDIA = "array<struct<type:array<string>,id:array<string>,size:array<struct<_totalSize:string>>,url:array<struct<_md5:string,_VALUE:string>>>>"
 _POST = (
     "TimelineObject array<struct<id:array<string>,username:array<string>,createTime:array<string>,contentDesc:array<string>,"
