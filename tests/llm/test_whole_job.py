@@ -1,13 +1,15 @@
 """Cases that were once left out of the operators' work."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from tests.llm.test_operators import docs
-from tidemark.llm import line_dedup, queries, toxicity
+from tidemark.llm import alignment, line_dedup, queries, toxicity
 
 
 def test_toxicity_searches_every_term(spark):
@@ -52,3 +54,30 @@ def test_short_lines_are_compared(spark, tmp_path):
     out = {r["doc_id"]: r["text"] for r in P.drop_repeated_lines(spark, docs(spark, texts), "").collect()}
     kept = {i: [x for k, x in enumerate(t.split("\n")) if (i, k) not in want] for i, t in enumerate(texts)}
     assert out == {i: "\n".join(x) for i, x in kept.items() if x}
+
+
+def test_alignment_holds_little_at_once():
+    """What a chunk's row needs while it is made stays far under what its links would take all at once, and so do the words kept."""
+    rng = random.Random(13)
+    pool = ["".join(rng.choices("abcdefghij", k=rng.randrange(3, 12))) for _ in range(60_000)]
+    texts = [" ".join(rng.choices(pool, k=300)) for _ in range(800)]
+    aligner = alignment.Aligner(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    chunk = alignment._Chunk()
+    list(aligner.align(texts[:1]))  # tables that are made once
+    tracemalloc.start()
+    try:
+        found = [x for at in range(0, 800, 100) for x in aligner.align(texts[at : at + 100])]
+        units = sum(len(u) for u, _ in found)
+        for i, (own, known) in enumerate(found):
+            chunk.add(i, texts[i], own, known, False)
+        del found, known
+        held, words = tracemalloc.get_traced_memory()[0], len(aligner.young)
+        tracemalloc.reset_peak()
+        row = chunk.batch(0)
+        peak = tracemalloc.get_traced_memory()[1] - held
+    finally:
+        tracemalloc.stop()
+    links = len(row.column("at")[0])
+    assert units == 240_000 and words > 50_000 and links > 300_000
+    assert peak < 150 * links, (peak, links)
+    assert held < 500 * words, (held, words)
