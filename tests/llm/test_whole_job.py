@@ -1,11 +1,13 @@
 """Cases that were once left out of the operators' work."""
 
 import random
+import re
 import tracemalloc
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.llm.test_operators import docs
@@ -81,3 +83,16 @@ def test_alignment_holds_little_at_once():
     assert units == 240_000 and words > 50_000 and links > 300_000
     assert peak < 150 * links, (peak, links)
     assert held < 500 * words, (held, words)
+
+
+def test_toxicity_terms_of_many_texts_at_once():
+    """Terms and counts of a batch are those of each text, for words of any signs and length, within and beyond Latin-1."""
+    rng = random.Random(14)
+    texts = [" ".join("".join(rng.choices("abcÜü²ªXY9_'" + "漢İΣ" * (j % 3 == 0), k=rng.randrange(1, rng.choice([12, 90])))) for _ in range(rng.randrange(60))) for j in range(120)]
+    texts += [None, "", "abcd abcd abcdefghi " * 5, "".join(map(chr, range(256)))]
+    assert all(toxicity.words(t) == re.findall(r"[^\W\d_]+", (t or "").lower()) for t in texts)
+    want = [toxicity.term_counts(w, len(w)) for w in map(toxicity.words, texts)]
+    terms = sorted({t for c in want[:100] for t in c})
+    vocabulary, known = toxicity.Vocabulary(pa.array(terms), {}), set(terms)
+    for counts, (term, tf) in zip(want, vocabulary.counts_of(texts), strict=True):
+        assert sorted((terms[t], int(n)) for t, n in zip(term, tf, strict=True)) == sorted((t, n) for t, n in counts.items() if t in known)

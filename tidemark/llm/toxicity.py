@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,12 @@ from tidemark.llm.common import free_name, materialize, sample_order
 from tidemark.llm.linear import fit_sigmoid, sigmoid
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: Signs up to 255, lower-cased, with a space for those that are in no word.
+_LATIN = bytes(ord(c) if _WORD.fullmatch(c) else 32 for c in (chr(k).lower() for k in range(256)))
+#: Words of more signs are hashed as a whole.
+LONG_WORD = 64
+#: Words of which a worker keeps the terms, at most.
+KEPT_WORDS = 300_000
 #: Examples in a block of a posting list.
 BLOCK = 128
 
@@ -33,7 +40,35 @@ BOOST = 8.0
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    try:
+        return (text or "").encode("latin-1").translate(_LATIN).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _WORD.findall(text.lower())
+
+
+def step(h: np.ndarray, sign: np.ndarray) -> np.ndarray:
+    """The hash of strings that end in ``sign``, from that of what is before it."""
+    h = (h ^ sign.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ h >> np.uint64(29)
+
+
+def term_hashes(strings: list[str], heads: tuple[int, ...] = ()) -> np.ndarray:
+    """64-bit hashes of the strings, then, a column each, of their beginnings of so many signs with a star; 0 where a string is no longer."""
+    size = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings))
+    signs = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    order = np.argsort(-size, kind="stable")
+    start, falling = (np.cumsum(size) - size)[order], -size[order]
+    out = np.zeros((len(strings), 1 + len(heads)), dtype=np.uint64)
+    h, star = np.full(len(strings), 0x2545F4914F6CDD1D, dtype=np.uint64), np.full(1, ord("*"))
+    for k in range(min(LONG_WORD, int(size.max(initial=0)))):
+        n = int(np.searchsorted(falling, -k, "left"))  # strings of more than k signs come first
+        if k in heads:
+            out[order[:n], 1 + heads.index(k)] = step(h[:n], star)
+        h[:n] = step(h[:n], signs[start[:n] + k])
+    out[order, 0] = h
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        out[k, 0] = xxhash.xxh3_64_intdigest(strings[k].encode("utf-8", "surrogatepass"))
+    return out
 
 
 def term_counts(found: list[str], n: int) -> dict[str, int]:
@@ -55,6 +90,19 @@ def term_counts(found: list[str], n: int) -> dict[str, int]:
     return out
 
 
+class Numbered(dict):
+    """Numbers words as they are asked for; ``new``: those numbered since that was cleared."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
 class Vocabulary:
     """The terms of the examples, sorted; ``strong``: those associated with label 1, with what they weigh more than others.
 
@@ -74,7 +122,7 @@ class Vocabulary:
             return self.boost
         if name not in ("keys", "places", "marks", "rows", "table"):
             raise AttributeError(name)
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(t.as_py()) for t in self.terms), dtype=np.uint64, count=self.size)
+        hashes = np.concatenate([np.zeros(0, dtype=np.uint64), *(term_hashes(self.terms[at : at + 16384].to_pylist())[:, 0] for at in range(0, self.size, 16384))])
         self.places = np.argsort(hashes, kind="stable").astype(np.int32)
         self.keys = hashes[self.places]
         #: By head: the terms that mark its recurrence.
@@ -82,47 +130,64 @@ class Vocabulary:
         ends = {str(x): j for j, x in enumerate((*COUNTS, *SHARES))}
         for k in np.flatnonzero(pc.match_substring_regex(self.terms, r"\*.").to_numpy(zero_copy_only=False)).tolist():
             head, _, end = self.terms[k].as_py().partition("*")
-            self.marks[self.find([f"{head}*"])[0], ends[end]] = k
-        self.rows, self.table = {}, np.full((1024, 1 + len(BEGINNINGS)), -1, dtype=np.int32)
+            self.marks[self.find(term_hashes([f"{head}*"])[:, 0])[0], ends[end]] = k
+        self.rows, self.table = Numbered(), np.full((1024, 1 + len(BEGINNINGS)), -1, dtype=np.int32)
         return self.__dict__[name]
 
-    def find(self, terms: list[str]) -> np.ndarray:
-        """The places of terms in the vocabulary, -1 for those that it doesn't have."""
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, terms), dtype=np.uint64, count=len(terms))
-        at = np.minimum(np.searchsorted(self.keys, hashes), self.size - 1)
-        return np.where(self.keys[at] == hashes, self.places[at], -1).astype(np.int32)
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The places of terms in the vocabulary by their hashes, -1 for those that it doesn't have."""
+        asked, inverse = np.unique(hashes, return_inverse=True)  # near ones are looked for one after the other
+        at = np.minimum(np.searchsorted(self.keys, asked), self.size - 1)
+        return np.where(self.keys[at] == asked, self.places[at], -1).astype(np.int32)[inverse.reshape(hashes.shape)]
 
     def learn(self, new: list[str]) -> None:
-        """Rows for words that have none yet."""
-        first = len(self.rows)
-        while first + len(new) > len(self.table):
+        """Rows for the words that were asked for last and have none yet."""
+        first, last = len(self.rows) - len(new), len(self.rows)
+        while last > len(self.table):
             self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
-        terms = [t for w in new for t in (w, *(w[:n] + "*" if len(w) > n else "" for n in BEGINNINGS))]
-        self.table[first : first + len(new)] = self.find(terms).reshape(len(new), -1)
-        self.rows.update(zip(new, range(first, first + len(new)), strict=True))
+        hashes = term_hashes(new, BEGINNINGS)
+        found = self.find(hashes)
+        found[hashes == 0] = -1
+        self.table[first:last] = found
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Terms and their counts, as ``term_counts`` has them, of terms in the vocabulary."""
-        own = words(text)
-        if not own or not self.size:
-            return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
-        found, rows = Counter(own), self.rows
-        if len(rows) + len(found) > 500_000:
+        return next(self.counts_of([text]))
+
+    def counts_of(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``counts`` of each of some texts, which are looked up and summed at once."""
+        own = [words(t) for t in texts]
+        sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
+        if not self.size or not sizes.any():
+            yield from ((np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)) for _ in own)
+            return
+        marks, rows = self.marks, self.rows  # made with the first of them
+        if len(rows) > KEPT_WORDS:
             rows.clear()
-        new = [w for w in found if w not in rows]
-        if new:
-            self.learn(new)
-        at = [rows[w] for w in found]
-        ids = self.table[at].ravel()
-        term, inverse = np.unique(ids, return_inverse=True)
-        tf = np.bincount(inverse, weights=np.repeat(list(found.values()), 1 + len(BEGINNINGS)))
-        if term[0] < 0:
-            term, tf = term[1:], tf[1:]
+        at = np.fromiter(map(rows.__getitem__, chain.from_iterable(own)), dtype=np.int64, count=int(sizes.sum()))
+        if rows.new:
+            self.learn(rows.new)
+            rows.new.clear()
+        # One number for text, word and, after that, for text, term and count: a plain sort brings equal ones together.
+        of = np.sort(np.repeat(np.arange(len(own)), sizes) * len(self.table) + at)
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        text, row = np.divmod(of[first], len(self.table))
+        term, low = self.table[row], int(sizes.max()).bit_length()
+        key = ((text[:, None] * self.size + term) << low | np.diff(first, append=len(of))[:, None])[term >= 0]
+        key.sort()
+        first = np.flatnonzero(np.diff(key >> low, prepend=-1))
+        tf = np.add.reduceat(key & ((1 << low) - 1), first) if len(first) else first
+        text, term = np.divmod(key[first] >> low, self.size)
         twice = np.flatnonzero(tf >= 2)
-        least = np.array([*COUNTS, *(share * len(own) for share in SHARES)])
-        marks = self.marks[term[twice]]
-        marks = marks[(tf[twice][:, None] >= least) & (marks >= 0)]
-        return np.concatenate([term, marks]), np.concatenate([tf, np.ones(len(marks))]).astype(np.int32)
+        more = marks[term[twice]]
+        least = np.concatenate([np.tile(np.array(COUNTS, dtype=np.float64), (len(own), 1)), np.multiply.outer(sizes, np.array(SHARES))], axis=1)
+        good = (tf[twice][:, None] >= least[text[twice]]) & (more >= 0)
+        more, whose = more[good], np.repeat(text[twice], good.sum(axis=1))
+        edges, ends = (np.searchsorted(x, np.arange(len(own) + 1)).tolist() for x in (text, whose))
+        term, tf = term.astype(np.int32), tf.astype(np.int32)
+        for k in range(len(own)):
+            n = ends[k + 1] - ends[k]
+            yield np.concatenate([term[edges[k] : edges[k + 1]], more[ends[k] : ends[k + 1]]]), np.concatenate([tf[edges[k] : edges[k + 1]], np.ones(n, dtype=np.int32)])
 
 
 class BlockMaxIndex:
@@ -163,36 +228,38 @@ class BlockMaxIndex:
 
 
 class ExampleIndex:
-    """Unit vectors of the examples, by example and by term: exact nearest ones for batches of queries, over all terms.
+    """Unit vectors of the examples by term: exact nearest ones for batches of queries, over all terms.
 
     Terms of FREQUENT of the examples or more are a dense matrix of single precision and the others postings; every
-    example that can be among the k nearest by their sum is scored again in double precision.
+    example that can be among the k nearest by their sum is scored again in double precision, for which a second
+    matrix has what the first lost.
     """
 
     FREQUENT, MOST_DENSE, SLACK = 1 / 16, 2048, 1e-4
 
     def __init__(self, start: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int):
         """Example i has the terms and weights from start[i] to start[i + 1]."""
-        self.n, self.start, self.term, self.weight = len(start) - 1, start, term, weight
-        df = np.bincount(self.term, minlength=terms)
+        self.n = len(start) - 1
+        df = np.bincount(term, minlength=terms)
         often = np.argsort(-df, kind="stable")[: self.MOST_DENSE]
         often = often[df[often] >= max(1, self.FREQUENT * self.n)]
         self.column = np.full(terms, -1, dtype=np.int16)
         self.column[often] = np.arange(len(often))
-        self.dense = np.zeros((len(often), self.n), dtype=np.float32)
+        self.dense, self.lost = (np.zeros((len(often), self.n), dtype=np.float32) for _ in range(2))
         self.post_start = np.concatenate([[0], np.cumsum(np.where(self.column < 0, df, 0))])
         self.post_doc = np.empty(self.post_start[-1], dtype=np.int32)
-        self.post_weight = np.empty(self.post_start[-1], dtype=np.float32)
+        self.post_weight = np.empty(self.post_start[-1], dtype=np.float64)
         free = self.post_start[:-1].copy()
         for i, (s, e) in enumerate(zip(start[:-1].tolist(), start[1:].tolist(), strict=True)):
             own, w = term[s:e], weight[s:e]
             column = self.column[own]
             dense = column >= 0
             self.dense[column[dense], i] = w[dense]
+            self.lost[column[dense], i] = w[dense] - w[dense].astype(np.float32)
             own = own[~dense]  # the terms of one example are distinct
             self.post_doc[free[own]], self.post_weight[free[own]] = i, w[~dense]
             free[own] += 1
-        self.query = np.zeros(terms)
+        self.near = np.full(self.n, -1, dtype=np.int32)
 
     def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
         """The k examples of highest cosine above 0 of each query, ties to the first."""
@@ -204,30 +271,33 @@ class ExampleIndex:
             q[r, column[column >= 0]] = weight[column >= 0]
         rough, out = q @ self.dense, []
         for r, (term, weight) in enumerate(queries):
-            some = self.column[term] < 0
+            column = self.column[term]
+            some = column < 0
             rare = term[some]
-            at = ranges(self.post_start, rare)
-            w = np.repeat(weight[some].astype(np.float32), self.post_start[rare + 1] - self.post_start[rare]) * self.post_weight[at]
-            scores = rough[r] + np.bincount(self.post_doc[at], weights=w, minlength=self.n)
+            first = self.post_start[rare]
+            many = self.post_start[rare + 1] - first
+            ends = np.cumsum(many)
+            at = np.repeat(first - ends + many, many)
+            at += np.arange(len(at))
+            doc, w = self.post_doc.take(at).astype(np.int64), self.post_weight.take(at)
+            w *= np.repeat(weight[some], many)
+            scores = rough[r] + np.bincount(doc, weights=w, minlength=self.n)
             if without is not None:
                 scores[without[r]] = 0
             least = np.partition(scores, self.n - k)[self.n - k] if self.n > k else 0
             near = np.flatnonzero((scores >= least - self.SLACK) & (scores > 0))
-            self.query[term] = weight
-            at = ranges(self.start, near)
-            exact = np.add.reduceat(self.query[self.term[at]] * self.weight[at], np.cumsum([0, *np.diff(self.start)[near][:-1]])) if len(near) else []
-            self.query[term] = 0
+            self.near[near] = np.arange(len(near))
+            whose = self.near.take(doc)
+            hits = np.flatnonzero(whose >= 0)
+            self.near[near] = -1
+            exact = np.bincount(whose[hits], weights=w[hits], minlength=len(near))
+            often = column[~some].astype(np.int64)
+            cells = often[:, None] * self.n + near
+            exact = exact + weight[~some] @ (self.dense.ravel().take(cells) + self.lost.ravel().take(cells).astype(np.float64))
             out.append(sorted(((round(float(x), 9), int(i)) for x, i in zip(exact, near, strict=True)), key=lambda x: (-x[0], x[1]))[:k])
         return out
 
 
-def ranges(start: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """All positions of the lists ``which``, one list after the other."""
-    n = start[which + 1] - start[which]
-    ends = np.cumsum(n)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[which] - ends + n, n)
-
-
 class ToxicityModel:
     """Terms, their inverse document frequencies over all documents, and the labelled examples.
 
@@ -316,7 +386,7 @@ class ToxicityModel:
         if len(self.memo) >= 50_000:
             self.memo.clear()
         new = {k: t for k, t in zip(keys, texts, strict=True) if k not in self.memo}
-        found = {k: self.vocabulary.counts(t) for k, t in new.items()}
+        found = dict(zip(new, self.vocabulary.counts_of(list(new.values())), strict=True))
         full = [k for k, (term, _) in found.items() if len(term)]
         self.memo.update({k: (float(self.bare), [], []) for k in found})
         for k, near in zip(full, self.index.nearest([self.vector(*found[k]) for k in full], self.k), strict=True):
@@ -372,9 +442,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
     def document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, rows = np.zeros(shipped.value.size, dtype=np.int64), 0
         for batch in batches:
-            for text in batch.column(0):
-                rows += 1
-                n[shipped.value.counts(text.as_py())[0]] += 1
+            rows += batch.num_rows
+            for at in range(0, batch.num_rows, BLOCK):
+                for term, _ in shipped.value.counts_of(batch.column(0).slice(at, BLOCK).to_pylist()):
+                    n[term] += 1
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *some], pa.int32()), pa.array([rows, *n[some]], pa.int64())], names=["term", "n"])
 
@@ -385,7 +456,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shipped.value.counts(t.as_py()) for t in batch.column(2)]
+            found = [c for at in range(0, batch.num_rows, BLOCK) for c in shipped.value.counts_of(batch.column(2).slice(at, BLOCK).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([c[0] for c in found], pa.list_(pa.int32())), pa.array([c[1] for c in found], pa.list_(pa.int32()))], names=["doc_id", "y", "term", "tf"]
             )
