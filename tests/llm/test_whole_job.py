@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.llm.test_operators import docs
-from tidemark.llm import alignment, line_dedup, queries, toxicity
+from tidemark.llm import alignment, line_dedup, linear, queries, toxicity
 
 
 def test_toxicity_searches_every_term(spark):
@@ -96,3 +96,18 @@ def test_toxicity_terms_of_many_texts_at_once():
     vocabulary, known = toxicity.Vocabulary(pa.array(terms), {}), set(terms)
     for counts, (term, tf) in zip(want, vocabulary.counts_of(texts), strict=True):
         assert sorted((terms[t], int(n)) for t, n in zip(term, tf, strict=True)) == sorted((t, n) for t, n in counts.items() if t in known)
+
+
+def test_scores_of_many_texts_hold_little_at_once():
+    """Texts are scored in groups whose numbers, one a byte and model, take a few megabytes; the scores are those of single texts."""
+    rng = np.random.default_rng(15)
+    weights = rng.normal(size=(4096, 16)).astype(np.float32)
+    texts = [rng.integers(97, 123, size=int(n), dtype=np.uint8).tobytes() for n in rng.integers(1, 4000, size=300)]
+    tracemalloc.start()
+    try:
+        got = linear.batch_scores(texts, (1, 2, 3), weights)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 24 << 20, peak
+    assert np.allclose(got, [linear.ngram_frequencies(t, (1, 2, 3), 4096) @ weights.astype(np.float64) for t in texts], atol=1e-6)

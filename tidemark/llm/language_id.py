@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import sample_order
+from tidemark.llm.common import lean, sample_order
 from tidemark.llm.linear import batch_scores, fit_dense, ngram_frequencies, sigmoid
 from tidemark.llm.words import byte_slices
 
@@ -92,6 +92,7 @@ def train(docs: DataFrame, learn: Column, rows_per_language: int = 400, dims: in
     for lang, n in counts.items():
         keep = keep | ((F.col("lang") == lang) & (F.pmod(sample_order(), F.lit(buckets)) < min(buckets, 2 + int(1.5 * rows_per_language / n * buckets))))
 
+    @lean
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = [ngram_frequencies(prepared(t.as_py()), orders, dims).tobytes() for t in batch.column(2)]
@@ -125,6 +126,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
     at = source.columns.index("text")
     schema = T.StructType([*kept.schema.fields]).add("lang_pred", "string").add("score", "double")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in byte_slices(whole, at):

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import forget, materialize, small
+from tidemark.llm.common import forget, lean, materialize, small
 from tidemark.llm.words import byte_slices, hashed_words, scrambled, text_bytes
 
 #: Counters for token rarity; a fixed size, shared by tokens that collide.
@@ -73,6 +73,7 @@ def whole_lines(docs: DataFrame) -> DataFrame:
 def token_ranks(docs: DataFrame) -> tuple[np.ndarray, int]:
     """The rank of each counter, from the rarest on, counted over every word of the texts, and the number of words."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, dtype=np.int64)
         for batch in batches:
@@ -228,6 +229,7 @@ def postings(docs: DataFrame, ranks: np.ndarray, least_tokens: int, buckets: int
     # As many deals as buckets put something under a key, so that a list takes no more than a bucket is meant to hold.
     local = max(1, min(LOCAL, BUCKET // buckets))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, posts, held, count = [], [], 0, 0
 
@@ -378,6 +380,7 @@ def seen_again(found: DataFrame, failed: DataFrame, nearest: int | None) -> Data
     """(doc_id, line_no, hub_doc, hub_line): pairs of the lines ``failed`` with earlier ones of their lists, the ``nearest`` or all."""
     shipped = found.sparkSession.sparkContext.broadcast(place_filter(failed))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = shipped.value
         for batch in batches:
@@ -461,6 +464,7 @@ def place_filter(places: DataFrame) -> np.ndarray:
     """A bit per slot that has a place (doc_id, line_no), at most FILTER_BITS; the driver gets no more than these."""
     bits = min(FILTER_BITS, 1 << max(12, (16 * places.count()).bit_length()))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slot = np.unique(place_slots(batch.column(0).to_numpy(), batch.column(1).to_numpy(), bits))
@@ -483,6 +487,7 @@ def verified(pairs: DataFrame, docs: DataFrame, ranks: np.ndarray, tag: str) ->
     places = materialize(pairs.select("hub.*").unionByName(pairs.select("at.*")).distinct(), f"{tag}-places")
     shipped = docs.sparkSession.sparkContext.broadcast((ranks, place_filter(places)))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, mask = shipped.value
         for batch in batches:

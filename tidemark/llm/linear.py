@@ -8,6 +8,8 @@ import numpy as np
 
 #: Bytes that are worked on at once; longer texts go through in overlapping stretches.
 STRETCH = 1 << 18
+#: Bytes of several texts that are scored at once: each takes a number for each model.
+GROUP = 1 << 16
 
 
 def byte_ngrams(raw: np.ndarray, order: int, dims: int) -> np.ndarray:
@@ -43,7 +45,7 @@ def batch_scores(texts: list[bytes], orders: tuple[int, ...], weights: np.ndarra
     at = 0
     while at < len(texts):
         group, size = [], 0
-        while at < len(texts) and (not group or size + len(texts[at]) < STRETCH):
+        while at < len(texts) and (not group or size + len(texts[at]) < GROUP):
             group.append(at)
             size += len(texts[at])
             at += 1
@@ -57,8 +59,9 @@ def batch_scores(texts: list[bytes], orders: tuple[int, ...], weights: np.ndarra
             rows = [g for g in group if len(texts[g]) >= order]
             if not rows:
                 continue
-            value = weights[byte_ngrams(np.frombuffer(b"".join(texts[g] for g in rows), dtype=np.uint8), order, dims)].astype(np.float64)
-            value = np.concatenate([value, np.zeros((order, models))])
+            code = byte_ngrams(np.frombuffer(b"".join(texts[g] for g in rows), dtype=np.uint8), order, dims)
+            value = np.zeros((len(code) + order, models))
+            value[: len(code)] = weights[code]
             lengths = np.array([len(texts[g]) for g in rows])
             ends = np.cumsum(lengths)
             cuts = np.ravel(np.column_stack([ends - lengths, ends - order + 1]))  # starts of n-grams inside one text

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, forget, materialize, restricted, small
+from tidemark.llm.common import components, forget, lean, materialize, restricted, small
 from tidemark.llm.decontamination import shingle_codes
 from tidemark.llm.words import byte_slices, hashed_words, text_bytes
 
@@ -41,6 +41,7 @@ def set_hash(own: np.ndarray) -> str | None:
 def sketches(docs: DataFrame, words: int, k: int) -> DataFrame:
     """(doc_id, set_hash, n, sketch): the k least codes of each document's set; set_hash is null for an empty set."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch, 1):
@@ -75,7 +76,7 @@ def _slots(batches: Iterator[pa.RecordBatch], values) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["slot", "c"])
 
 
-def _packed(arrays: list[np.ndarray], width: int = 1 << 22) -> Iterator[np.ndarray]:
+def _packed(arrays: Iterator[np.ndarray], width: int = 1 << 19) -> Iterator[np.ndarray]:
     """The arrays, joined into larger ones."""
     held, size = [], 0
     for a in arrays:
@@ -97,11 +98,13 @@ def sketch_postings(reps: DataFrame, k: int, least_shared: int) -> DataFrame:
     that many documents share come last and list nobody.
     """
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _slots(batches, lambda b: [np.asarray(b.column(0).flatten(), dtype=np.int64)])
 
     shipped = reps.sparkSession.sparkContext.broadcast(_counted(reps.select("sketch").mapInArrow(count, "slot long, c long")).astype(np.int32))  # 4 MB
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shipped.value
         for batch in batches:
@@ -122,11 +125,13 @@ def sketch_postings(reps: DataFrame, k: int, least_shared: int) -> DataFrame:
 def exact_postings(docs: DataFrame, words: int) -> DataFrame:
     """(v, rep, label, n, pos): of documents with a label the rarest n - ceil(0.8 n) + 1 shingles of each full set, in one rarest-first order."""
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _slots(batches, lambda b: _packed([own for part in byte_slices(b, 0) for own in shingle_sets(part.column(0), words)]))
+        return _slots(batches, lambda b: _packed(own for part in byte_slices(b, 0) for own in shingle_sets(part.column(0), words)))
 
     shipped = docs.sparkSession.sparkContext.broadcast(_counted(docs.select("text").mapInArrow(count, "slot long, c long")).astype(np.int32))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shipped.value
         for whole in batches:
@@ -149,6 +154,7 @@ def texts_of(keys: DataFrame, docs: DataFrame, classes: DataFrame, words: int, t
     """(key, text): a text of each class among ``keys``; texts are read for the classes' documents only."""
     wanted = materialize(classes.join(keys.select(F.col(keys.columns[0]).alias("wanted")).distinct(), F.col("key") == F.col("wanted"), "left_semi"), f"{tag}-wanted")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch, 1):
@@ -172,6 +178,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
     left = texts.select(F.col("key").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch, 3):
