@@ -111,3 +111,25 @@ def test_scores_of_many_texts_hold_little_at_once():
         tracemalloc.stop()
     assert peak < 24 << 20, peak
     assert np.allclose(got, [linear.ngram_frequencies(t, (1, 2, 3), 4096) @ weights.astype(np.float64) for t in texts], atol=1e-6)
+
+
+def test_pipeline_sends_texts_in_small_batches(spark):
+    """After any stage 12 MB of long texts come to a worker in batches of about 4 MB, and every row comes; a session's own limit stays."""
+    import corpus_pipeline as P
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    key, d = "spark.sql.execution.arrow.maxBytesPerBatch", docs(spark, ["abcd " * 800] * 3000).coalesce(1)
+    for name, stage in P.STAGES[:1] + P.STAGES[-1:]:
+        spark.conf.unset(key)
+        stage(spark, d.limit(20), "")
+        got = d.mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r["n"] for r in got) == 3000 and max(r["size"] for r in got) < 5 << 20, name
+    try:
+        spark.conf.set(key, "1m")
+        P.STAGES[0][1](spark, d.limit(20), "")
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)

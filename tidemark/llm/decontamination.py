@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import lean
+
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -199,6 +201,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, index: BenchmarkIndex | None =
     """
     shipped = docs.sparkSession.sparkContext.broadcast(index or build(benchmark, **settings))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shipped.value
         for batch in batches:
@@ -214,6 +217,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFra
     shipped = docs.sparkSession.sparkContext.broadcast(build(benchmark, **settings))
     at = docs.columns.index("text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             clean = [not shipped.value.search(t.as_py()) for t in batch.column(at)]

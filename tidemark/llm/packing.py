@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, rank_within
+from tidemark.llm.common import lean, materialize, rank_within
 from tidemark.llm.tokenization import WordTokenizer
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -20,6 +20,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def tokenized(docs: DataFrame, tokenizer_path: str, size: int, end_id: int, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of at most ``size`` tokens of every whole text: (doc_id, piece, start, length, ids_crc32[, ids])."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = WordTokenizer.shared(tokenizer_path).encode_bytes
         tail = np.array([end_id], dtype="<u4").tobytes()
@@ -98,6 +99,7 @@ def packed(pieces: DataFrame, size: int, tag: str = "pack") -> DataFrame:
     slots = pieces.sparkSession.sparkContext.broadcast(by_length)  # bounded by the number of lengths
     schema = pieces.sparkSession.createDataFrame([], pieces.schema).schema.add("sequence_id", "long").add("offset", "long")
 
+    @lean
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("length")
         for batch in batches:
