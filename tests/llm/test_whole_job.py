@@ -98,6 +98,41 @@ def test_toxicity_terms_of_many_texts_at_once():
         assert sorted((terms[t], int(n)) for t, n in zip(term, tf, strict=True)) == sorted((t, n) for t, n in counts.items() if t in known)
 
 
+def test_toxicity_marks_are_found_many_at_once():
+    """The terms that mark a beginning's recurrence, 25000 of them, are looked up in a few steps; each is the one of its own beginning."""
+    rng = random.Random(16)
+    heads = sorted({"".join(rng.choices("abcdefghijkl\u00fc", k=rng.choice(toxicity.BEGINNINGS))) for _ in range(6000)})
+    ends = [str(x) for x in (*toxicity.COUNTS, *toxicity.SHARES)]
+    terms = sorted({f"{h}*{e}" for h in heads for e in ("", *ends) if not e or rng.random() < 0.75})
+    steps, find = [], toxicity.Vocabulary.find
+    vocabulary = toxicity.Vocabulary(pa.array(terms))
+    vocabulary.find = lambda hashes: steps.append(len(hashes)) or find(vocabulary, hashes)
+    marks, at = vocabulary.marks, {t: k for k, t in enumerate(terms)}
+    assert len(steps) < 10 and sum(steps) == len(terms) - len(heads) > 24_000
+    assert all(marks[at[f"{h}*"]].tolist() == [at.get(f"{h}*{e}", -1) for e in ends] for h in heads)
+
+
+def test_toxicity_nearest_are_exact_in_both_parts():
+    """Cosines by brute force, of frequent and of rare terms, with near ties that single precision can't tell; a query without rare or frequent terms too."""
+    rng, n, terms = np.random.default_rng(17), 700, 900
+    rows = [np.sort(rng.choice(terms, size=int(rng.integers(3, 60)), replace=False, p=(w := 1 / np.arange(5, 5 + terms)) / w.sum())) for _ in range(n)]
+    weights = [(v := rng.random(len(t)) + 0.1) / np.sqrt(v @ v) for t in rows]
+    for i in range(0, n - 1, 7):  # nearly the same example again
+        rows[i + 1], weights[i + 1] = rows[i], (v := weights[i] * (1 + 1e-8 * rng.random(len(weights[i])))) / np.sqrt(v @ v)
+    index = toxicity.ExampleIndex(np.cumsum([0, *map(len, rows)]), np.concatenate(rows).astype(np.int32), np.concatenate(weights), terms)
+    assert 0 < len(index.dense) < terms
+    whole = np.zeros((n, terms))
+    for i, (t, w) in enumerate(zip(rows, weights, strict=True)):
+        whole[i, t] = w
+    often = np.flatnonzero(index.column >= 0).astype(np.int32)
+    queries = [*zip(rows[:200], weights[:200], strict=True), (often[:5], np.full(5, 5**-0.5)), (np.array([terms - 1, terms - 2], dtype=np.int32), np.full(2, 0.5**0.5))]
+    for (t, w), got in zip(queries, index.nearest(queries, 9), strict=True):
+        scores = whole[:, t] @ w
+        want = sorted(((round(float(x), 9), i) for i, x in enumerate(scores) if x > 0), key=lambda x: (-x[0], x[1]))[:9]
+        assert len(got) == len(want) and np.allclose([x for x, _ in got], [x for x, _ in want], atol=2e-9)
+        assert all(abs(scores[i] - x) < 2e-9 for x, i in got)
+
+
 def test_scores_of_many_texts_hold_little_at_once():
     """Texts are scored in groups whose numbers, one a byte and model, take a few megabytes; the scores are those of single texts."""
     rng = np.random.default_rng(15)
